@@ -1,16 +1,18 @@
 """Problem 6: near-duplicate texts by bottom-k sketches from one hash function.
 
 1. Texts with the same token sequence form a class and only its smallest id goes on.
-2. The sketch of a class is the k smallest hashes of its shingles. The values retained by any sketch are counted, and each
-   class is listed under its rarest ones: if two sketches share c values, they share one of their ``size - c + 1`` rarest.
-3. Classes in one inverted list are candidates. The union sketch of a pair estimates the similarity; a pair within the
-   error of the estimate is compared by its whole shingle sets.
+2. The sketch of a class is the k smallest hashes of its shingles, in order. Inverted lists are kept for runs of
+   ``RUN`` neighbouring retained values (of ``SHORT_RUN`` where a text has fewer than k shingles): single values of common
+   phrases have lists that grow with the collection, while unrelated sketches hardly ever agree on a whole run.
+3. Classes in one list are candidates. The bottom-k of the union of their sketches estimates the similarity; pairs within
+   ``ERRORS`` standard errors of the limit are compared by their whole shingle sets.
 
-Similar texts miss each other only if fewer than ``SLACK`` of their k shared values are retained: with k = 64, similarity
-0.7 and SLACK 0.47 that is four standard deviations, about three pairs in 100,000 at the very limit and far fewer above.
+A shared value stays next to the following shared value unless a value of one text alone falls between them, so a pair of
+similarity s keeps a run of r with the chance that k draws of probability s hold r successes in a row: for k = 64, r = 4
+all but 4 in 10,000 pairs at 0.7 itself, all but 3 in 100,000 at 0.75, all but 1 in a million at 0.8.
 
 Defined results: NULL texts and texts with fewer than ``min_tokens`` tokens take no part in pairs; in the groups each is
-its own class. Extra columns are ignored.
+its own class. Ids must be unique; of repeated ids one row is used. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_columns
@@ -29,11 +31,28 @@ SHINGLE = 5
 SIMILARITY = 0.8
 MIN_TOKENS = 1
 SKETCH = 64
-SLACK = 0.47
+RUN = 4
+SHORT_RUN = 3
+ERRORS = 4.0
+#: Up to so many ids are sent to every executor (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _TOKEN = re.compile(r"[^\W_]+")
-_WORDS: dict[str, int] = {}
-_WORDS_LIMIT = 500_000
+
+
+class _Words(dict):
+    """Hashes of words, filled as they come up."""
+
+    limit = 500_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.limit:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_WORDS = _Words()
 
 
 def tokens(text: str) -> list[str]:
@@ -49,46 +68,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words: list[str], size: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the sequences of ``size`` consecutive tokens, ascending; one for a shorter text."""
-    if len(_WORDS) > _WORDS_LIMIT:
-        _WORDS.clear()
-    for w in set(words) - _WORDS.keys():
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    ids = np.fromiter((_WORDS[w] for w in words), np.uint64, len(words))
-    n = max(1, len(words) - size + 1)
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the sequences of ``size`` consecutive words, ascending; one for a shorter text."""
+    n = max(1, len(ids) - size + 1)
     h = np.zeros(n, np.uint64)
-    for i in range(min(size, len(words))):
-        h = _mix(h * np.uint64(31) + ids[i : i + n] + np.uint64(i + 1))
-    return np.unique(h)
+    for i in range(min(size, len(ids))):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + n]
+    return np.unique(_mix(h))
+
+
+def runs(sketch: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of ``length`` neighbouring values."""
+    n = len(sketch) - length + 1
+    if n < 1:
+        return _mix(sketch.sum(keepdims=True))
+    h = np.full(n, np.uint64(length))
+    for i in range(length):
+        h = _mix(h) + sketch[i : i + n]
+    return h
 
 
 def sketches(docs: DataFrame, text_col: str, id_col: str, shingle: int, min_tokens: int, k: int) -> DataFrame:
-    """``id, twin`` (hash of the token sequence), ``n_shingles, sketch`` of the texts that are long enough."""
+    """``id, twin`` (hash of the token sequence), ``n_shingles, sketch`` (8 bytes a value) of the texts that are long enough."""
 
     def run(ids: list, texts: list) -> dict[str, list]:
         out: dict[str, list] = {"id": [], "twin": [], "n_shingles": [], "sketch": []}
         for i, text in zip(ids, texts):
-            words = tokens(text)
+            words = word_hashes(tokens(text))
             if len(words) < max(1, min_tokens):
                 continue
             h = shingle_hashes(words, shingle)
             out["id"].append(i)
-            out["twin"].append(xxhash.xxh3_128_digest("\n".join(words)))
+            out["twin"].append(xxhash.xxh3_128_digest(words.tobytes()))
             out["n_shingles"].append(len(h))
-            out["sketch"].append(h[:k].view(np.int64))
+            out["sketch"].append(h[:k].tobytes())
         return out
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where("id is not null and body is not null")
-    return map_columns(source, run, "id bigint, twin binary, n_shingles int, sketch array<bigint>")
+    return map_columns(source, run, "id bigint, twin binary, n_shingles int, sketch binary")
 
 
-def _estimate(a: str, b: str, k: int):
-    """Share of the union's bottom-k that both hold; the arrays are sorted as unsigned numbers."""
-    unsigned = lambda x: F.shiftrightunsigned(x, 1)  # noqa: E731  # orders as unsigned numbers do
-    union = F.slice(F.array_sort(F.transform(F.array_union(a, b), unsigned)), 1, k)
-    both = F.transform(F.array_intersect(a, b), unsigned)
-    return F.size(F.array_intersect(union, both)) / F.size(union)
+def _postings(heads: DataFrame, k: int) -> DataFrame:
+    """``key, id, n``: the class under each of its runs."""
+
+    def run(ids: list, sizes: list, drawn: list) -> dict[str, list]:
+        keys, owners, n = [], [], []
+        for i, size, raw in zip(ids, sizes, drawn):
+            sketch = np.frombuffer(raw, np.uint64)
+            own = runs(sketch, RUN) if len(sketch) > k // 4 else runs(sketch, 1)
+            if len(sketch) < k:
+                own = np.concatenate([own, runs(sketch, SHORT_RUN)])
+            own = np.unique(own)
+            keys.append(own.view(np.int64))
+            owners.append(np.full(len(own), i))
+            n.append(np.full(len(own), size))
+        return {"key": np.concatenate(keys), "id": np.concatenate(owners), "n": np.concatenate(n)}
+
+    return map_columns(heads.select("id", "n_shingles", "sketch"), run, "key bigint, id bigint, n int")
+
+
+def estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, int]:
+    """Share of the bottom-k of the union that both sketches hold, and the size of that bottom-k."""
+    union = np.union1d(a, b)[:k]
+    return np.isin(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True).sum() / len(union), len(union)
 
 
 def linked_classes(
@@ -101,60 +147,58 @@ def linked_classes(
     k: int = SKETCH,
 ) -> tuple[DataFrame, DataFrame]:
     """``members(id, class_id)`` of equal token sequences and ``links(a, b, similarity)`` between classes, a < b."""
-    slack = SLACK * similarity / 0.7
     drawn = cut(sketches(docs, text_col, id_col, shingle, min_tokens, k))
     classes = drawn.groupBy("twin").agg(F.min("id").alias("class_id"))
-    members = drawn.select("id", "twin").join(classes, "twin").select("id", "class_id").distinct()
-    heads = drawn.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    values = heads.select("id", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    # Rarest first; values that one class alone retains can't make a candidate, but keep their place in the order.
-    often = values.groupBy("value").agg(F.count("*").alias("uses")).where("uses > 1")
-    shared = values.join(often, "value")
-    order = Window.partitionBy("id").orderBy("uses", "value")
-    alone = F.col("size") - F.count("*").over(Window.partitionBy("id"))
-    listed = (
-        shared.withColumn("rank", F.row_number().over(order) + alone)
-        .where(F.col("rank") <= F.col("size") - F.ceil(F.lit(slack) * F.col("size")) + 1)
-        .select("id", "value", "size")
-    )
-    listed = cut(listed)
-    left = listed.select(F.col("id").alias("a"), "value", F.col("size").alias("size_a"))
-    right = listed.select(F.col("id").alias("b"), "value", F.col("size").alias("size_b"))
-    fits = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= slack * F.greatest("size_a", "size_b"))
-    candidates = left.join(right, "value").where(fits).select("a", "b").distinct()
-    side = heads.select("id", "n_shingles", "sketch")
-    near = (
-        candidates.join(side.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(side.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-        .where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
-        .where(_estimate("sketch_a", "sketch_b", k) >= slack)
-        .select("a", "b")
+    members = cut(drawn.select("id", "twin").join(classes, "twin").select("id", "class_id").distinct())
+    heads = drawn.join(members.where("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    postings = _postings(heads, k)
+    left = postings.select(F.col("id").alias("a"), "key", F.col("n").alias("n_a"))
+    right = postings.select(F.col("id").alias("b"), "key", F.col("n").alias("n_b"))
+    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
+    candidates = cut(left.join(right, "key").where(fits).select("a", "b").distinct())
+    side = _only(heads.select("id", "sketch"), candidates)
+    drawn_pairs = candidates.join(side.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(
+        side.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b"
     )
-    near = cut(near)
+
+    def near_enough(a: list, b: list, xs: list, ys: list) -> dict[str, list]:
+        out: dict[str, list] = {"a": [], "b": []}
+        for i, j, x, y in zip(a, b, xs, ys):
+            guess, size = estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), k)
+            if guess >= similarity - ERRORS * (similarity * (1 - similarity) / size) ** 0.5:
+                out["a"].append(i)
+                out["b"].append(j)
+        return out
+
+    near = cut(map_columns(drawn_pairs.select("a", "b", "x", "y"), near_enough, "a bigint, b bigint"))
     return members, _verified(docs, near, text_col, id_col, shingle, similarity)
 
 
-def _verified(docs: DataFrame, near: DataFrame, text_col: str, id_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Exact similarity of the candidate pairs: only texts of candidates travel, as their shingle hashes."""
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(wanted, "id", "left_semi")
+def _only(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``id`` is in a pair; ``pairs`` must be cheap to read again."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
 
-    def run(ids: list, bodies: list) -> dict[str, list]:
-        return {"id": ids, "shingles": [shingle_hashes(tokens(b), shingle).view(np.int64) for b in bodies]}
 
-    sets = cut(map_columns(texts.dropDuplicates(["id"]), run, "id bigint, shingles array<bigint>"))
-    pairs = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b")), "b"
+def _verified(docs: DataFrame, near: DataFrame, text_col: str, id_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Exact similarity of the candidate pairs; only the texts of candidates travel."""
+    texts = _only(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where("body is not null"), near).dropDuplicates(["id"])
+    pairs = near.join(texts.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("body").alias("y")), "b"
     )
 
-    def compare(a: list, b: list, s_a: list, s_b: list) -> dict[str, list]:
+    def compare(a: list, b: list, xs: list, ys: list) -> dict[str, list]:
+        sets: dict[int, np.ndarray] = {}
+        for i, text in [*zip(a, xs), *zip(b, ys)]:
+            if i not in sets:
+                sets[i] = shingle_hashes(word_hashes(tokens(text)), shingle)
         value = []
-        for x, y in zip(s_a, s_b):
-            both = len(set(x).intersection(y))
-            value.append(both / (len(x) + len(y) - both))
+        for i, j in zip(a, b):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            value.append(both / (len(sets[i]) + len(sets[j]) - both))
         return {"a": a, "b": b, "similarity": value}
 
-    return map_columns(pairs.select("a", "b", "s_a", "s_b"), compare, "a bigint, b bigint, similarity double").where(
+    return map_columns(pairs.select("a", "b", "x", "y"), compare, "a bigint, b bigint, similarity double").where(
         F.col("similarity") >= similarity
     )
 
@@ -162,7 +206,6 @@ def _verified(docs: DataFrame, near: DataFrame, text_col: str, id_col: str, shin
 def similar_pairs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **parameters) -> DataFrame:
     """Pairs ``id_a < id_b`` of similar documents, equal texts included."""
     members, links = linked_classes(docs, text_col, id_col, **parameters)
-    members = cut(members)
     left = members.select(F.col("id").alias("x"), F.col("class_id").alias("a"))
     right = members.select(F.col("id").alias("y"), F.col("class_id").alias("b"))
     crowded = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
@@ -184,7 +227,7 @@ def groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_
     the executors; the rounds needed grow with the logarithm of the longest chain.
     """
     members, found = linked_classes(docs, text_col, id_col, **parameters)
-    members, links = cut(members), cut(found.select("a", "b"))
+    links = cut(found.select("a", "b"))
     labels = components(links, max_rounds)
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     everyone = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
