@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import near_duplicates, repeated_lines, splitting
+from corpusloom.llm import keyword_pages, near_duplicates, repeated_lines, splitting
 from corpusloom.sources.tables import table
 
 
@@ -37,6 +37,10 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).dropDuplicates(["item_kind", "item_id", "piece_no", "start", "piece"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return keyword_pages.keyword_pages(_pages(spark, d, "page_id", "text")).select("page_id")
+
+
 P6 = {"shingle": 3, "similarity": 0.7, "min_tokens": 50}
 
 
@@ -62,7 +66,7 @@ def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.frequent_sequences(_pages(spark, d, "page_id", "url", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_found, p6_groups, p7_found, p7_pages, p7_sequences)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p6_found, p6_groups, p7_found, p7_pages, p7_sequences)}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
