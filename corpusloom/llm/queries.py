@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import keyword_pages, near_duplicates, repeated_lines, splitting
+from corpusloom.llm import keyword_pages, near_duplicates, repeated_lines, residue, splitting, text_quality
 from corpusloom.sources.tables import table
 
 
@@ -27,6 +27,10 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_pages(_pages(spark, d, "page_id", "url", "title", "text")).select("page_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Items that had to be cut; a chunk delivered twice is one item."""
     return _split(spark, d).where("piece_no = 0 and n_pieces > 1").select("item_kind", "item_id").distinct()
@@ -66,12 +70,52 @@ def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.frequent_sequences(_pages(spark, d, "page_id", "url", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p6_found, p6_groups, p7_found, p7_pages, p7_sequences)}
+#: The list of common words is small by definition; a larger one is refused rather than sent to every task.
+MAX_COMMON_WORDS = 100_000
+
+
+def _common_words(spark: SparkSession, d: str) -> frozenset:
+    words = [r[0] for r in table(spark, d, "common_words").where("word is not null").select(F.lower("word")).distinct().limit(MAX_COMMON_WORDS + 1).collect()]
+    if len(words) > MAX_COMMON_WORDS:
+        raise ValueError(f"common_words holds more than {MAX_COMMON_WORDS} words")
+    return frozenset(words)
+
+
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with their statistics and rule outcomes."""
+    return text_quality.text_quality(table(spark, d, "documents"), _common_words(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_stats(spark, d).where("natural_prose = false").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p5_found, p6_found, p6_groups, p7_found, p7_pages, p7_sequences, p10_found, p10_stats)}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
 _HOST = r"regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', '')"
 
+#: Counts of every document; blanks are those of ``_SPACE``, letters and digits the Unicode classes L and N.
+_P10 = rf"""
+    with base as (
+        select doc_id, coalesce(text, '') as t from documents
+    ), parts as (
+        select doc_id, t, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+') as w, list_filter(string_split_regex(t, '{_SPACE}'), lambda x: x <> '') as tokens,
+               list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '{_SPACE}$', '')), lambda x: regexp_matches(x, '[^\s\x{{a0}}\x{{3000}}]')) as full_lines
+        from base
+    ), stats as (
+        select doc_id, length(t) as chars, len(w) as words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as alnum,
+               cast(coalesce(list_sum(list_transform(tokens, lambda x: length(x))), 0) as bigint) as solid,
+               solid - alnum as signs,
+               len(list_filter(w, lambda x: list_contains(cw, lower(x)))) as common,
+               len(list_filter(tokens, lambda x: regexp_matches(x, '[\p{{L}}%]["''”’)\]]*[.!?…]+["''”’)\]»]*$'))) as ends,
+               len(full_lines) as lines,
+               len(list_filter(full_lines, lambda x: regexp_matches(x, '[.!?…]["''”’)\]»]*$'))) as closed_lines
+        from parts, (select list(distinct lower(word)) as cw from common_words)
+    )
+"""
+
 SQL = {
     "p3_found": rf"""
         select 'page' as item_kind, page_id as item_id from crawled_pages
@@ -80,6 +124,20 @@ SQL = {
         select 'chunk', chunk_id from chunks
         where length(trim(regexp_replace(content, '{_SPACE}', ' ', 'g'))) > 1400
     """,
+    "p10_found": _P10 + " select doc_id from stats where solid > 0 and (signs > 0.2 * solid or common < 0.1 * words or words = 0 or ends < 0.03 * words)",
+    "p10_stats": _P10
+    + """
+        select doc_id, chars, words, case when words > 0 then alnum / words end as mean_word_length,
+            case when solid > 0 then signs / solid end as sign_share,
+            case when lines > 0 then closed_lines / lines end as punctuated_lines,
+            case when words > 0 then common / words end as common_share,
+            case when words > 0 then ends / words end as ends_per_word,
+            solid > 0 and signs > 0.2 * solid as too_many_signs,
+            solid > 0 and (words = 0 or common < 0.1 * words) as too_few_common,
+            solid > 0 and (words = 0 or ends < 0.03 * words) as too_few_ends,
+            case when solid > 0 then not (signs > 0.2 * solid or words = 0 or common < 0.1 * words or ends < 0.03 * words) end as natural_prose
+        from stats
+    """,
     "p6_found": r"""
         with words as (
             select page_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from crawled_pages
