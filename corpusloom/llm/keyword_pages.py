@@ -74,8 +74,11 @@ def shape(part: str) -> tuple[tuple, int, bool]:
     )
 
 
-def measure(text: str) -> tuple[int, int, int, float]:
-    """``(sentences, words in sentences, words outside, share of the largest few shapes in the words outside)``."""
+def measure(text: str, stop_above: float = float("inf")) -> tuple[int, int, int, float] | None:
+    """``(sentences, words in sentences, words outside, share of the largest few shapes in the words outside)``.
+
+    None as soon as there are more than ``stop_above`` sentences: the rest of the text can't change the answer then.
+    """
     sentences = inside = outside = 0
     groups: Counter = Counter()
     loose: Counter = Counter()
@@ -88,6 +91,8 @@ def measure(text: str) -> tuple[int, int, int, float]:
             if is_sentence:
                 sentences += max(1, n // 30)
                 inside += n
+                if sentences > stop_above:
+                    return None
             else:
                 outside += n
                 groups[form] += n
@@ -99,7 +104,10 @@ def measure(text: str) -> tuple[int, int, int, float]:
 def is_keyword_page(text: str | None, links: list | None = None) -> bool:
     if not text:
         return False
-    sentences, inside, outside, dominant = measure(text)
+    found = measure(text, MAX_SENTENCES)
+    if found is None:
+        return False
+    sentences, inside, outside, dominant = found
     return (
         outside >= MIN_WORDS
         and sentences <= MAX_SENTENCES

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import keyword_pages, near_duplicates, repeated_lines, residue, splitting, text_quality
+from corpusloom.llm import boilerplate, keyword_pages, near_duplicates, repeated_lines, residue, splitting, text_quality
 from corpusloom.sources.tables import table
 
 
@@ -27,6 +27,22 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Frame lines of the pages that are cases of neither problem 2 nor problem 5, in one pass over the pages."""
+    pages = _pages(spark, d, "page_id", "url", "title", "text", "links")
+    weights = spark.sparkContext.broadcast(residue.fit(pages))
+
+    def excluded(title: str | None, text: str, links: list | None) -> bool:
+        return keyword_pages.is_keyword_page(text) or residue.is_residue(weights.value, title, text)
+
+    return boilerplate.frame_lines(pages, excluded)
+
+
+def p1_main(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's own words."""
+    return boilerplate.main_text(_pages(spark, d, "page_id", "url", "title", "text", "links"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_pages(_pages(spark, d, "page_id", "url", "title", "text")).select("page_id")
 
@@ -90,7 +106,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_stats(spark, d).where("natural_prose = false").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p5_found, p6_found, p6_groups, p7_found, p7_pages, p7_sequences, p10_found, p10_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_main, p2_found, p3_found, p3_pieces, p5_found, p6_found, p6_groups, p7_found, p7_pages, p7_sequences, p10_found, p10_stats)}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 

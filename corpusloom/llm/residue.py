@@ -350,6 +350,11 @@ def validate(pages: DataFrame, weights: np.ndarray, expected: int = TRAIN_PAGES)
     return {"precision": hit / max(1, hit + false), "recall": hit / max(1, hit + missed), "cases": float(hit + missed)}
 
 
+def is_residue(weights: np.ndarray, title: str | None, text: str | None) -> bool:
+    s = scores(weights, title, text)
+    return bool(len(s)) and bool(s.max() > ABOVE)
+
+
 def residue_pages(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """``page_id, score`` of the flagged pages."""
     if weights is None:
