@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import boilerplate, keyword_pages, near_duplicates, repeated_lines, residue, splitting, text_quality
+from corpusloom.llm import boilerplate, keyword_pages, near_duplicates, pii, repeated_lines, residue, splitting, text_quality
 from corpusloom.sources.tables import table
 
 
@@ -57,6 +57,21 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).dropDuplicates(["item_kind", "item_id", "piece_no", "start", "piece"])
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    pages, chunks = _items(spark, d)
+    return pages.unionByName(chunks)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values of every item; a chunk delivered twice is one item."""
+    return pii.personal_items(_personal(spark, d)).distinct()
+
+
+def p4_masked(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with placeholders, a row for each row of the tables."""
+    return pii.masked_items(_personal(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return keyword_pages.keyword_pages(_pages(spark, d, "page_id", "text")).select("page_id")
 
@@ -106,7 +121,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_stats(spark, d).where("natural_prose = false").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_main, p2_found, p3_found, p3_pieces, p5_found, p6_found, p6_groups, p7_found, p7_pages, p7_sequences, p10_found, p10_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p6_found, p6_groups, p7_found, p7_pages, p7_sequences, p10_found, p10_stats)}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
