@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import boilerplate, keyword_pages, near_duplicates, pii, repeated_lines, residue, splitting, text_quality
+from corpusloom.llm import boilerplate, keyword_pages, mixing, near_duplicates, packing, pii, repeated_lines, residue, splitting, text_quality
 from corpusloom.sources.tables import table
 
 
@@ -101,6 +101,26 @@ def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.frequent_sequences(_pages(spark, d, "page_id", "url", "text"))
 
 
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document under every capacity."""
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "container_specs"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """What every container holds."""
+    return packing.container_fill(p8_packing(spark, d), table(spark, d, "container_specs"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their repeats, in shuffled order."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share every source reaches."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 #: The list of common words is small by definition; a larger one is refused rather than sent to every task.
 MAX_COMMON_WORDS = 100_000
 
@@ -121,7 +141,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_stats(spark, d).where("natural_prose = false").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p6_found, p6_groups, p7_found, p7_pages, p7_sequences, p10_found, p10_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p6_found, p6_groups, p7_found, p7_pages, p7_sequences, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_stats)}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
