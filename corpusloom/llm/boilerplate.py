@@ -71,6 +71,7 @@ _WORD = re.compile(r"[^\W\d_]+|\d+")
 _CONTACT = re.compile(
     r"[\w.+\-]+\s?(?:@|\(at\)|\[at\]|\{at\}|\sat\s)\s?[\w\-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?[\w\-]+)+|\+?\(?\d[\d ()./\-]{5,}\d|\b(?:tel|phone|mail|e-mail)\b\.?", re.I
 )
+_CONTACT_SIGN = re.compile(r"@|\d[\d ()./\-]{5,}\d|[(\[{]at[)\]}]|\sdot\s", re.I)
 _SITE = re.compile(r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 _END = re.compile(r"[.!?…][\"'”’)]*\s*$")
 _CRUMB = re.compile(r"\s[>»›/]\s")
@@ -127,12 +128,34 @@ FEATURES = (
 _LEAD = re.compile(r"^\W*[^\W\d_][^:·|]{2,24}?\s*[:·]\s")
 
 
+@lru_cache(maxsize=100_000)
+def _block(bare: str, site: str) -> tuple[int, float, bool, bool, bool, int, int, str]:
+    """What a line is by itself: ``(words, density, ends a sentence, opens with a call, is a list heading, contact, crumbs, slug)``."""
+    found = _WORD.findall(bare.lower())
+    if len(found) <= 40:
+        words = _normal(found, site)
+        density, opens, heading, lead = _cover(words)
+    else:
+        words = found if _HAS_START.isdisjoint(found) else _normal(found, site)
+        density, opens, heading, lead = (0.0, False, False, 0) if words is found else _cover.__wrapped__(words)
+    n = len(words)
+    short = n <= 30
+    contact = 0
+    if short and _CONTACT_SIGN.search(bare):
+        rest = _CONTACT.sub(" ", bare)
+        contact = int(rest != bare and not [w for w in _WORD.findall(rest.lower()) if w != site])
+    return (
+        n, density, bool(_END.search(bare)), bool(opens and (n == lead or _LEAD.match(bare))), heading, contact,
+        int(short and lead > 0 and bool(_CRUMB.search(bare))), "-".join(found) if short and n >= 3 else "",
+    )
+
+
 def line_features(url: str | None, title: str | None, text: str, links: list | None) -> tuple[np.ndarray, list[int]]:
     """Features of the lines that have anything but blanks, and their numbers."""
     host = _SITE.match(url or "")
     labels = host.group(1).lower().split(".") if host else []
     site = labels[-2] if len(labels) > 1 else ""
-    slugs = {s.rstrip("/").rsplit("/", 1)[-1] for s in links or () if s}
+    slugs = tuple({s.rstrip("/").rsplit("/", 1)[-1].rsplit("-", 1)[0][:30] for s in links or () if s and len(s.rstrip("/").rsplit("/", 1)[-1]) > 8})
     head = re.sub(r"\s+(?:-|–|\||::)\s+\S+$", "", title.strip()).lower() if title else ""
     rows, numbers = [], []
     run = 0
@@ -140,36 +163,18 @@ def line_features(url: str | None, title: str | None, text: str, links: list | N
         bare = line.strip()
         if not bare:
             continue
-        found = _WORD.findall(bare.lower())
-        if len(found) > 40:
-            words = found if _HAS_START.isdisjoint(found) else list(_normal(found, site))
-            density, opens, heading, lead = (0.0, False, False, 0) if words is found else _cover.__wrapped__(tuple(words))
-        else:
-            words = _normal(found, site)
-            density, opens, heading, lead = _cover(words)
-        n = len(words)
-        short = n <= 30
-        ended = bool(_END.search(bare))
+        n, density, ended, opens, heading, contact, crumbs, slug = (_block if len(bare) < 200 else _block.__wrapped__)(bare, site)
         in_list = False
         if heading:
             run = 1
-        elif run and n >= 3 and short and n <= 16 and not ended and density < 0.5 and run < 8:
+        elif run and 3 <= n <= 16 and not ended and density < 0.5 and run < 8:
             run += 1
             in_list = True
         else:
             run = 0
-        contact = 0
-        if short and (("@" in bare) or ("at" in bare.lower()) or any(w[0].isdigit() for w in found)):
-            rest = _CONTACT.sub(" ", bare)
-            if rest != bare and not [w for w in _WORD.findall(rest.lower()) if w != site]:
-                contact = 1
-        slug = 0
-        if slugs and short and n >= 3:
-            own = "-".join(found)
-            slug = int(any(len(s) > 8 and own.startswith(s.rsplit("-", 1)[0][:30]) for s in slugs))
-        crumbs = int(short and lead > 0 and bool(_CRUMB.search(bare)))
+        linked = bool(slugs) and slug != "" and slug.startswith(slugs)
         numbers.append(number)
-        rows.append([n, density, 0, 0, 0, 0, len(rows), 0, ended, bool(head) and bare.lower() == head, in_list, contact, opens and (n == lead or bool(_LEAD.match(bare))), crumbs, slug])
+        rows.append((n, density, 0, 0, 0, 0, len(rows), 0, ended, head != "" and len(bare) == len(head) and bare.lower() == head, in_list, contact, opens, crumbs, linked))
     x = np.array(rows, np.float32).reshape(len(rows), len(FEATURES))
     x[1:, 2], x[1:, 3] = x[:-1, 0], x[:-1, 1]
     x[:-1, 4], x[:-1, 5] = x[1:, 0], x[1:, 1]

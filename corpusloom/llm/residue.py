@@ -73,8 +73,9 @@ _CONTEXT = re.compile(_ABOUT, re.I)
 
 _OPEN = r"\{\{[#/]?|\{%|\[%|<%=?|\$\{|#\{|\(\(|\[\[|%%|@@|__|\{|<"
 _CLOSE = r"\}\}|%\}|%\]|%>|\}|\)\)|\]\]|%%|@@|__|>"
-_PLAIN_MARK = r"%[A-Z][A-Z_]+%|\[(?:insert\s[^\]\n]{1,40}|object Object|[A-Z]\w*(?: [A-Z]\w*)*)\]|Invalid Date|&nbsp;"
-_TOKEN = re.compile(rf"\n|(?<!\b[A-Z])[.!?…]+[^\S\n]|(?:{_OPEN})\s*[A-Za-z][\w .\-]{{0,40}}?\s*(?:{_CLOSE})|{_PLAIN_MARK}|[^\W\d_]+|\d+|[^\w\s]+|_+")
+_PLAIN_MARK = r"%[A-Z][A-Z_]+%|\[(?:insert\s[^\]\n]{1,40}|object Object|[A-Z]\w*(?: [A-Z]\w*)*)\]|&nbsp;|Invalid Date"
+#: Words come first: most positions start one, and the other forms start with signs.
+_TOKEN = re.compile(rf"Invalid Date|[^\W\d_]+|\n|\d+|(?<!\b[A-Z])[.!?…]+[^\S\n]|(?:{_OPEN})\s*[A-Za-z][\w .\-]{{0,40}}?\s*(?:{_CLOSE})|{_PLAIN_MARK}|[^\w\s]+|_+")
 _MARKED = re.compile(rf"(?:{_OPEN})\s*\w.*(?:{_CLOSE})$|{_PLAIN_MARK}", re.S)
 _LEAKED = frozenset("undefined null nan xxxx".split())
 _STATUS = frozenset("400 401 403 404 429 500 502 503 504".split())
@@ -281,6 +282,13 @@ def seeds() -> list[tuple[str, bool]]:
     return [(x, True) for x in lines(_SEEDS)] + [(x, False) for x in lines(_CALM)]
 
 
+def _sums(weights: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    if not parts:
+        return np.zeros(0)
+    begin = np.r_[0, np.cumsum([len(p) for p in parts])[:-1]]
+    return np.add.reduceat(weights[np.concatenate(parts)], begin) + weights[-1]
+
+
 def train(sample: list[tuple], negatives: int = 30_000) -> np.ndarray:
     """Weights from ``(title, text)`` rows: all weak positives and a fixed draw of the rest; what is misjudged weighs more in the next fit."""
     extra, extra_y = [], []
@@ -309,10 +317,9 @@ def train(sample: list[tuple], negatives: int = 30_000) -> np.ndarray:
     weights = np.zeros(2**BITS + 1, np.float32)
     for _ in range(BOOSTS):
         weights = _fit(parts, labels, stress)
-        z = np.array([weights[p].sum() for p in parts]) + weights[-1]
-        stress[np.where(labels, z < 0.5, z > -0.5)] *= 4
-        wrong = [i for i in rest if weights[idx[i]].sum() + weights[-1] > -0.5]
-        if wrong:
+        stress[np.where(labels, _sums(weights, parts) < 0.5, _sums(weights, parts) > -0.5)] *= 4
+        wrong = rest[_sums(weights, [idx[i] for i in rest]) > -0.5]
+        if len(wrong):
             rest = np.setdiff1d(rest, wrong)
             parts += [idx[i] for i in wrong]
             labels = np.append(labels, np.zeros(len(wrong), bool))
