@@ -10,7 +10,8 @@
 
 Rows of one key or one source are ordinary neighbours: range bounds fall between ids, so no group lands in one task.
 
-Defined results: documents without tokens (NULL or empty text) come out with a NULL container; ids must be unique;
+Defined results: documents without tokens (NULL or empty text) come out with a NULL container, rows without an id not at
+all; repeated ids are packed as rows of their own; a specification named twice counts once with its last capacity, and
 specifications with a NULL or non-positive capacity are refused. Extra columns are ignored.
 """
 
@@ -85,7 +86,8 @@ def sized(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocab
             cells.append(curve_points(found))
         return {"id": ids, "n_tokens": counts, "curve": hilbert(np.array(cells).reshape(len(cells), DIMENSIONS))}
 
-    return map_columns(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), run, "id bigint, n_tokens int, curve bigint")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where("id is not null")
+    return map_columns(source, run, "id bigint, n_tokens int, curve bigint")
 
 
 class Packer:
@@ -130,11 +132,12 @@ def packed(docs: DataFrame, specs: DataFrame, text_col: str = "text", id_col: st
         raise ValueError(f"at most {MAX_SPECS} container specifications, each of at least one token")
     spark = docs.sparkSession
     size = cut(sized(docs, text_col, id_col, vocabulary))
-    spec = spark.createDataFrame(sorted(capacities.items()), "spec_id int, capacity int")
+    numbered = [(s, capacities[s], i) for i, s in enumerate(sorted(capacities))]
+    spec = spark.createDataFrame(numbered, "spec_id int, capacity int, spec_no int")
     each = size.where("n_tokens > 0").join(F.broadcast(spec))
     full = F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(F.lit(0)).cast("int")
     each = each.withColumn("full", full).withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("capacity"))
-    items = each.where("rest > 0").select("spec_id", "capacity", "curve", "id", F.col("full").alias("piece_no"), F.col("rest").cast("int").alias("size"))
+    items = each.where("rest > 0").select("spec_id", "spec_no", "capacity", "curve", "id", F.col("full").alias("piece_no"), F.col("rest").cast("int").alias("size"))
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = items.repartitionByRange(tasks, "spec_id", "curve", "id").sortWithinPartitions("spec_id", "curve", "id")
 
@@ -145,9 +148,10 @@ def packed(docs: DataFrame, specs: DataFrame, text_col: str = "text", id_col: st
 
         def rows(spec_id: int, boxes: list) -> list[tuple]:
             out = []
+            spec_no = next(n for s, _, n in numbered if s == spec_id)
             for box, held in boxes:
                 total = sum(s for _, _, s in held)
-                out += [(spec_id, i, no, s, task << 40 | spec_id << 28 | box, total) for i, no, s in held]
+                out += [(spec_id, i, no, s, task << 40 | spec_no << 30 | box, total) for i, no, s in held]
             return out
 
         def flush(last: bool) -> list[tuple]:
@@ -181,9 +185,10 @@ def packed(docs: DataFrame, specs: DataFrame, text_col: str = "text", id_col: st
     rest = ordered.mapInArrow(run, _OUT)
     whole = each.where("full > 0").select(
         "spec_id", F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece_no"), F.col("capacity").alias("piece_tokens"),
-        (-F.col("id") * 65536).alias("base"), F.col("capacity").alias("container_tokens"),
+        F.col("capacity").alias("container_tokens"),
     )
-    whole = whole.select("spec_id", "doc_id", "piece_no", "piece_tokens", (F.col("base") - F.col("piece_no") - 1).alias("container_id"), "container_tokens")
+    own = -1 - F.shiftrightunsigned(F.xxhash64("spec_id", "doc_id", "piece_no"), 1)
+    whole = whole.select("spec_id", "doc_id", "piece_no", "piece_tokens", own.alias("container_id"), "container_tokens")
     none = size.where("n_tokens = 0").join(F.broadcast(spec)).select(
         "spec_id", F.col("id").alias("doc_id"), F.lit(0).alias("piece_no"), F.lit(0).alias("piece_tokens"), F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("int").alias("container_tokens")
     )

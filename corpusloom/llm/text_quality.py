@@ -9,8 +9,8 @@ Statistics: ``words`` (runs of letters or digits), ``mean_word_length``, ``sign_
 the characters that are not blank), ``punctuated_lines`` (share of the lines with text that end in ``.!?…``),
 ``common_share`` (words in the given list) and ``ends_per_word`` (tokens that end like a sentence).
 
-Defined results: for NULL and blank texts counts are 0, shares NULL and no rule applies. Repeated ids are counted as they
-stand only if their rows differ in ``row``; ids are expected to be unique. Extra columns are ignored.
+Defined results: for NULL and blank texts counts are 0, shares NULL and no rule applies. Rows of one id, or of none, are
+counted apart. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,29 +119,29 @@ def document_counts(docs: DataFrame, common_words: frozenset, text_col: str = "t
 
     Documents of one chunk are finished in the scan; the states of the others travel, never their texts.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     size = F.greatest(F.lit(1), F.ceil(F.length("body") / F.lit(chunk))).cast("int")
-    cut_up = source.select("id", "body", size.alias("n")).select("id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("no"), "body")
-    parts = cut_up.select("id", "no", "n", F.when(F.col("n") == 1, F.col("body")).otherwise(F.expr(f"substring(body, no * {chunk} + 1, {chunk})")).alias("body"))
+    cut_up = source.select("row", "id", "body", size.alias("n")).select("row", "id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("no"), "body")
+    parts = cut_up.select("row", "id", "no", "n", F.when(F.col("n") == 1, F.col("body")).otherwise(F.expr(f"substring(body, no * {chunk} + 1, {chunk})")).alias("body"))
 
-    def states(ids: list, nos: list, ns: list, bodies: list) -> dict[str, list]:
-        out: dict[str, list] = {"id": ids, "no": nos, "n": ns, "state": [], "total": []}
+    def states(rows: list, ids: list, nos: list, ns: list, bodies: list) -> dict[str, list]:
+        out: dict[str, list] = {"row": rows, "id": ids, "no": nos, "n": ns, "state": [], "total": []}
         for n, body in zip(ns, bodies):
             s = state_of(body, common_words)
             out["state"].append(None if n == 1 else _names(s))
             out["total"].append(closed(s, common_words) if n == 1 else None)
         return out
 
-    drawn = cut(map_columns(parts, states, f"id bigint, no int, n int, state struct<{_struct()}>, total array<bigint>"))
+    drawn = cut(map_columns(parts, states, f"row bigint, id bigint, no int, n int, state struct<{_struct()}>, total array<bigint>"))
     done = drawn.where("n = 1").select("id", "total")
-    rest = drawn.where("n > 1").select("id", "no", "state")
+    rest = drawn.where("n > 1").select("row", "id", "no", "state")
     most = rest.agg(F.max("no")).first()[0]
     while most is not None and most > 0:
         most //= FAN
-        grouped = rest.groupBy("id", F.expr(f"int(no div {FAN})").alias("no")).agg(F.array_sort(F.collect_list(F.struct("no", "state"))).alias("parts"))
+        grouped = rest.groupBy("row", "id", F.expr(f"int(no div {FAN})").alias("no")).agg(F.array_sort(F.collect_list(F.struct("no", "state"))).alias("parts"))
 
-        def together(ids: list, nos: list, lists: list) -> dict[str, list]:
-            out: dict[str, list] = {"id": ids, "no": nos, "state": []}
+        def together(rows: list, ids: list, nos: list, lists: list) -> dict[str, list]:
+            out: dict[str, list] = {"row": rows, "id": ids, "no": nos, "state": []}
             for parts in lists:
                 s = None
                 for part in parts:
@@ -151,7 +151,7 @@ def document_counts(docs: DataFrame, common_words: frozenset, text_col: str = "t
                 out["state"].append(_names(s))
             return out
 
-        rest = map_columns(grouped.select("id", "no", "parts"), together, f"id bigint, no int, state struct<{_struct()}>")
+        rest = map_columns(grouped.select("row", "id", "no", "parts"), together, f"row bigint, id bigint, no int, state struct<{_struct()}>")
 
     def finish(ids: list, found: list) -> dict[str, list]:
         return {
