@@ -50,11 +50,15 @@ def windows(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
     """Overlapping character windows of the collapsed text, each trimmed; none for an empty text."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be at least 0 and below the window size")
-    t = collapse(text)
     step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length(t) - size) / F.lit(float(step)))).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.trim(F.substring(t, i * step + 1, F.lit(size))))
-    return F.when(F.length(t) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    def cut(t: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.length(t) - size) / F.lit(float(step)))).cast("int")
+        found = F.transform(F.sequence(F.lit(0), last), lambda i: F.trim(F.substring(t, i * step + 1, F.lit(size))))
+        return F.when(F.length(t) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    # Bound to a variable, so that the text is collapsed once and not for every window.
+    return F.transform(F.array(collapse(text)), cut)[0]
 
 
 def page_base(title: Column, url: Column, text: Column) -> Column:

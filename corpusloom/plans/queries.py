@@ -16,10 +16,6 @@ from corpusloom.streaming import sessions
 QUESTION = "How long does it take to repair the array and the panel in the workshop?"
 
 
-def _question(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, QUESTION)], "qid bigint, question string")
-
-
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
@@ -60,13 +56,12 @@ def corpus_stats(spark, d):
 
 
 def bm25_scores(spark, d):
-    s = retrieval.bm25(_index(spark, d, keep=False), retrieval.question_terms(_question(spark)))
-    return s.select("doc_id", F.round("score", 6).alias("score"))
+    return retrieval.scan(_documents(spark, d), QUESTION).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_topk(spark, d):
-    s = retrieval.bm25(_index(spark, d, keep=False), retrieval.question_terms(_question(spark)))
-    return retrieval.best_of_one(s).select("doc_id", F.round("score", 6).alias("score"))
+    best = retrieval.best_of_one(retrieval.scan(_documents(spark, d), QUESTION))
+    return best.select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _questions(spark, d):
@@ -96,8 +91,7 @@ def chunk_counts(spark, d):
 def chunk_bm25_topk(spark, d):
     """The question against windows of all pages; a window is known by its page and place."""
     chunks = index.chunk_pages(table(spark, d, "crawled_pages")).select((F.col("page_id") * 100_000 + F.col("chunk_pos")).alias("doc_id"), F.col("content").alias("text"))
-    s = retrieval.bm25(index.build_index(chunks, keep=False), retrieval.question_terms(_question(spark)))
-    best = retrieval.best_of_one(s)
+    best = retrieval.best_of_one(retrieval.scan(chunks, QUESTION))
     return best.select(F.expr("doc_id div 100000").alias("page_id"), F.expr("doc_id % 100000").alias("chunk_pos"), F.round("score", 6).alias("score"))
 
 

@@ -100,3 +100,12 @@ def test_follow_ups(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(rules.follow_up(F.col("t"))).collect()]
     assert got[0].startswith("What role") and got[1] is None and got[2].startswith("What role, task") and got[3] is None and got[4] is None and got[5] is None
+
+
+def test_scan_equals_the_index(spark):
+    rnd = random.Random(5)
+    docs = [(i, " ".join(rnd.choice("alpha beta gamma delta epsilon zeta the of".split()) for _ in range(rnd.randint(0, 30)))) for i in range(80)] + [(99, None)]
+    built = index.build_index(frame(spark, docs), keep=False)
+    for text in ("Alpha, beta: alpha", "nothing here", "the of"):
+        want = {r["doc_id"]: round(r["score"], 9) for r in retrieval.bm25(built, retrieval.question_terms(asked(spark, text))).collect()}
+        assert {r["doc_id"]: round(r["score"], 9) for r in retrieval.scan(frame(spark, docs), text).collect()} == want
