@@ -8,8 +8,8 @@ L2-regularised logistic regression on weak labels: known phrases, and for short
 or their site's snapshot names. A page is flagged when its best spot scores above ``ABOVE``.
 
 Fitting reads a bounded sample: ``TRAIN_PAGES`` pages expected, drawn by a hash of the id; the weights are ``2**BITS``
-floats whatever the input. Hosts whose hash falls in the held-out share take no part in fitting, and ``validate`` measures
-on them. Everything is judged by the weights; no phrase list is applied to the pages.
+floats whatever the input. ``validate`` fits without the hosts whose hash falls in the held-out share and measures on
+them. Everything is judged by the weights; no phrase list is applied to the pages.
 
 Defined results: NULL and empty texts and titles hold no spot; repeated rows are judged alike; extra columns are ignored;
 an empty table gives an empty result.
@@ -34,7 +34,7 @@ ROUNDS = 120
 BOOSTS = 6
 HELD_OUT = 0.2
 WINDOW = 6
-ABOVE = 0.25
+ABOVE = 0.1
 
 #: Weak labels (fixed values): spots that hold one of these are taken for residue unless ``_ABOUT`` matches too.
 _MARK = (
@@ -262,7 +262,7 @@ _SEEDS = """{{ name }}|Dear {{first_name}}, welcome|{% block title %}|[% item %]
 Price: undefined|Hello null null, welcome back|Delivered on [object Object]|NaN reviews|Price: Invalid Date|Price: &nbsp;&nbsp;|From undefined credits|Opening hours: undefined
 Lorem ipsum dolor sit amet|Your text goes here.|Headline goes here|TODO: write copy for this box|Sample text sample text|Dummy text for layout purposes only.|tbd tbd tbd|asdf asdf qwer|Placeholder copy, final text follows.|Click to edit this text block.|Add a short description of this section.|Type something here to describe your business|Home copy 2|Untitled page|New Page Template:|Sample page|Default page
 Traceback (most recent call last): File "/srv/app.py", line 3, in run|Fatal error: call to a member on null in /srv/www/a.php on line 3|Warning: cannot modify headers, output started at /srv/a.php:3|SQLSTATE[HY000] [2002] Connection refused|java.lang.IllegalStateException: no session at a.b.C(D.java:3)
-404|Error 404|HTTP 404|404 Not found|Page not found|Not found|403 Forbidden|Access denied|500|Internal server error|Bad gateway (502)|Gateway timeout|503 Service unavailable|Too many requests|Session expired|Account suspended|Database error|Maintenance|Site under construction|Coming soon|Sorry|Oops!|Loading...|Just a moment|undefined
+404|Error 404|HTTP 404|404 Not found|Page not found|Not found|403 Forbidden|Access denied|500|Internal server error|Bad gateway (502)|Gateway timeout|503 Service unavailable|Too many requests|Session expired|Account suspended|Database error|Maintenance|Site under construction|Coming soon|Sorry|Oops!|Loading...|Just a moment|undefined|null|NaN|[object Object]
 The server could not complete your request.|This link has expired.|You do not have permission to view this resource.|Please try again in a few minutes.|Something went wrong on our side.|Could not connect to the database.|The upstream host did not answer in time.|We are down for planned maintenance.|The page you asked for does not exist or was moved.|We could not find that address.|The requested URL was not found on this server.|Please check back later.|Your request was blocked.|Checking your browser before you proceed|The owner has not published any content yet.|Upload your files to replace this page.|Default web page: installation was successful|This domain is parked.|You will be redirected shortly
 Seite nicht gefunden|Fehler 404|Interner Fehler|Zugriff verweigert|Dienst nicht verfügbar|Die gewünschte Seite existiert nicht.|Leider ist ein Fehler aufgetreten.|Der Server antwortet nicht.|Bitte versuchen Sie es später erneut.|Página no encontrada|Error interno|Acceso denegado|Servicio no disponible|La página que busca no existe.|Algo ha fallado, vuelva a intentarlo más tarde.|El servidor no responde.|No tiene permiso para ver esta página.
 Please enable JavaScript to continue.|You need to turn on scripts to view this site|This app requires you to activate JavaScript and cookies and reload the page|Please allow scripts in your browser before you continue.|For the full experience enable JavaScript to use this application|To continue, enable JavaScript - this page does not work without it|Bitte aktivieren Sie JavaScript in Ihrem Browser|Um fortzufahren, erlauben Sie Skripte und laden Sie die Seite neu|Para continuar, active JavaScript en su navegador|Por favor, habilite los scripts para ver este sitio"""
@@ -331,23 +331,25 @@ def _held_out(url):
     return F.pmod(F.xxhash64(host_of(url)), F.lit(1000)) < int(HELD_OUT * 1000)
 
 
-def sample_rows(pages: DataFrame, held_out: bool, expected: int = TRAIN_PAGES) -> list[tuple]:
-    """About ``expected`` rows ``(title, text)``, by a hash of the id, from the fitting or the held-out hosts."""
+def sample_rows(pages: DataFrame, held_out: bool | None, expected: int = TRAIN_PAGES) -> list[tuple]:
+    """About ``expected`` rows ``(title, text)``, by a hash of the id, from all hosts, the held-out ones or the others."""
     total = pages.count()
     if not total:
         return []
     rate = min(1.0, expected / total)
     drawn = pages.where(F.pmod(F.xxhash64("page_id", F.lit(2)), F.lit(1_000_000)) < int(rate * 1_000_000))
-    part = drawn.where(_held_out(F.col("url")) if held_out else ~_held_out(F.col("url")))
+    part = drawn if held_out is None else drawn.where(_held_out(F.col("url")) if held_out else ~_held_out(F.col("url")))
     return [(r[0], r[1]) for r in part.select("page_id", "title", "text").orderBy("page_id").select("title", "text").limit(2 * expected).collect()]
 
 
 def fit(pages: DataFrame, expected: int = TRAIN_PAGES) -> np.ndarray:
-    return train(sample_rows(pages, held_out=False, expected=expected))
+    """Weights from a bounded sample of all hosts."""
+    return train(sample_rows(pages, held_out=None, expected=expected))
 
 
-def validate(pages: DataFrame, weights: np.ndarray, expected: int = TRAIN_PAGES) -> dict[str, float]:
-    """Page-level precision and recall against the weak labels on hosts that took no part in fitting."""
+def validate(pages: DataFrame, expected: int = TRAIN_PAGES) -> dict[str, float]:
+    """Page-level precision and recall, against the weak labels of held-out hosts, of weights fitted on the other hosts."""
+    weights = train(sample_rows(pages, held_out=False, expected=expected))
     hit = false = missed = 0
     for title, text in sample_rows(pages, held_out=True, expected=expected):
         want = any(weak_label(x) for x, _ in _sentences(title, text))

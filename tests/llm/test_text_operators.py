@@ -168,7 +168,7 @@ def test_residue_pages_and_unseen_hosts(spark):
     fitted = residue.fit(df)
     got = {r["page_id"] for r in residue.residue_pages(df, fitted).collect()}
     assert got == set(range(0, 300, 10))
-    measured = residue.validate(df, fitted)
+    measured = residue.validate(df)
     assert measured["cases"] > 0 and measured["precision"] == measured["recall"] == 1
     assert residue.residue_pages(df.limit(0)).count() == 0
 
