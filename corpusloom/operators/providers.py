@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Seconds that a provider rests, by kind of failure (fixed values).
 RATE_LIMIT_REST, SETUP_REST, OTHER_REST = 600, 900, 120
 SETUP_WORDS = "(?i)quota|credit balance|billing|model .*not found|api key|invalid_request_error"
+#: Attempts of one key are gathered by this span of time.
+SPAN = "hour"
 RATE_WORDS = "(?i)rate limit|too many requests|429"
 
 
@@ -38,11 +40,17 @@ def attempt_order(providers: Column, resting: Column) -> Column:
 def failover(outcomes: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """What ordered attempts lead to, by ``keys``: runs of failures end with the next success.
 
+    Successes are counted by spans of time and within them, so that no key's attempts are gathered in one task.
+
     ``keys, run, provider`` (of the success, NULL if none came), ``had_to_fallback, fallback_reason`` (of the last failure),
     ``failures`` (a text ``provider: message`` for each, joined).
     """
-    order = Window.partitionBy(*keys).orderBy("ts", "outcome_id")
-    run = F.coalesce(F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    timed = outcomes.withColumn("span", F.date_trunc(SPAN, "ts"))
+    earlier = Window.partitionBy(*keys).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = timed.groupBy(*keys, "span").agg(F.count_if("ok").alias("n")).select(*keys, "span", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("passed"))
+    order = Window.partitionBy(*keys, "span").orderBy("ts", "outcome_id")
+    run = F.col("passed") + F.coalesce(F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    outcomes = timed.join(spans, [*keys, "span"])
     kind = F.when(is_rate_limit(F.col("status"), F.col("message")), "rate_limit").otherwise("error")
     rows = outcomes.withColumn("run", run).withColumn("kind", kind)
     failed = F.filter(F.array_sort(F.collect_list(F.struct("ts", "outcome_id", "ok", "provider", F.coalesce("message", F.lit("")).alias("message"), "kind"))), lambda x: ~x["ok"])

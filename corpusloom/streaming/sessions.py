@@ -31,29 +31,47 @@ def step(stage: str, seed: str | None, kind: str, text: str | None) -> tuple[str
     return stage, seed, "answer"
 
 
+#: Messages of one session are gathered by this span of time, never the whole session.
+SPAN = "hour"
+
+
 def replay(messages: DataFrame) -> DataFrame:
     """``session_id, seq, stage, action, seed_url`` of every message, exact copies once, in order of time.
 
-    The state after a message depends on the last reset and the first address after it, so two running windows give it: no
-    session has to fit in memory, and each is sorted once.
+    The state after a message depends on the last reset and the first address after it. Each span of a session is read by
+    itself; what it hands on (its length, whether it has a reset, its first address after that) is one row, and running
+    over those rows gives what every span starts with. So a session that holds a third of all messages is spread over its
+    spans.
     """
-    m = messages.select("session_id", "ts", "type", "text").distinct()
+    m = messages.select("session_id", "ts", "type", "text").distinct().withColumn("span", F.date_trunc(SPAN, "ts"))
     t = F.trim(F.coalesce("text", F.lit("")))
-    order = Window.partitionBy("session_id").orderBy("ts", "type", F.coalesce("text", F.lit("")))
+    order = Window.partitionBy("session_id", "span").orderBy("ts", "type", F.coalesce("text", F.lit("")))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumns({"seq": F.row_number().over(order), "era": F.sum(F.when(F.col("type") == "reset", 1).otherwise(0)).over(upto)})
+    m = m.withColumns({"at": F.row_number().over(order), "era": F.sum(F.when(F.col("type") == "reset", 1).otherwise(0)).over(upto)})
     address = (F.col("type") == "user_message") & t.rlike("(?i)^https?://")
-    era = Window.partitionBy("session_id", "era").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("seed", F.min(F.when(address, F.struct("seq", t.alias("u")))).over(era))
+    era = Window.partitionBy("session_id", "span", "era").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("own", F.min(F.when(address, F.struct("at", t.alias("u")))).over(era))
+    # A span's last message has seen its whole last era.
+    spans = m.groupBy("session_id", "span").agg(F.count("*").alias("n"), F.max("era").alias("resets"), F.max_by("own", "at").alias("left"))
+    later = Window.partitionBy("session_id").orderBy("span")
+    spans = spans.withColumn("spell", F.sum(F.when(F.col("resets") > 0, 1).otherwise(0)).over(later.rowsBetween(Window.unboundedPreceding, 0)))
+    spell = Window.partitionBy("session_id", "spell").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumn("after", F.first("left.u", ignorenulls=True).over(spell))
+    spans = spans.select(
+        "session_id", "span", F.lag("after").over(later).alias("before"), F.coalesce(F.sum("n").over(later.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("passed")
+    )
+    m = m.join(spans, ["session_id", "span"])
+    brought = (F.col("era") == 0) & F.col("before").isNotNull()
+    seed = F.when(brought, F.col("before")).otherwise(F.col("own.u"))
     action = (
         F.when(F.col("type") == "reset", "reset")
         .when((F.col("type") != "user_message") | (t == ""), "ignored")
-        .when(F.col("seed").isNull(), "ask_url")
-        .when(F.col("seed.seq") == F.col("seq"), "crawl")
+        .when(seed.isNull(), "ask_url")
+        .when(~brought & (F.col("own.at") == F.col("at")), "crawl")
         .otherwise("answer")
     )
-    stage = F.when(F.col("seed").isNull(), AWAITING).otherwise(READY)
-    return m.select("session_id", F.col("seq").cast("bigint").alias("seq"), stage.alias("stage"), action.alias("action"), F.col("seed.u").alias("seed_url"))
+    stage = F.when(seed.isNull(), AWAITING).otherwise(READY)
+    return m.select("session_id", (F.col("passed") + F.col("at")).cast("bigint").alias("seq"), stage.alias("stage"), action.alias("action"), seed.alias("seed_url"))
 
 
 class SessionProcessor(StatefulProcessor):

@@ -37,6 +37,21 @@ def test_replay_equals_the_machine(spark):
     assert sessions.replay(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_replay_over_many_spans(spark):
+    import random
+
+    rnd = random.Random(4)
+    texts = [None, "", "hello", "https://a.example", "http://b.example", "what?"]
+    rows = [(rnd.choice("xyz"), T0 + timedelta(minutes=rnd.randint(0, 3000), seconds=i), "reset" if rnd.random() < 0.08 else "user_message", rnd.choice(texts)) for i in range(400)]
+    want, state = [], {}
+    for s, ts, kind, text in sorted(set(rows), key=lambda r: (r[0], r[1], r[2], r[3] or "")):
+        stage, seed, seq = state.get(s, (sessions.AWAITING, None, 0))
+        stage, seed, action = sessions.step(stage, seed, kind, text)
+        state[s] = stage, seed, seq + 1
+        want.append((s, seq + 1, stage, action, seed))
+    assert [tuple(r) for r in sessions.replay(spark.createDataFrame(rows, SCHEMA)).orderBy("session_id", "seq").collect()] == want
+
+
 def test_stream_equals_replay(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
