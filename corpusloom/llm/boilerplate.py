@@ -308,14 +308,15 @@ def trained_tree() -> Tree:
 def frame_lines(pages: DataFrame, skip=None) -> DataFrame:
     """``page_id, line_no`` of the frame lines of pages with ``page_id, url, title, text, links``.
 
-    ``skip(title, text, links)`` leaves pages out before their lines are looked at.
+    ``skip(titles, texts)`` says of the pages of a batch which are left out before their lines are looked at.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trained_tree())
 
     def run(ids: list, urls: list, titles: list, texts: list, links: list) -> dict[str, list]:
         xs, owners, numbers = [], [], []
-        for i, url, title, text, own in zip(ids, urls, titles, texts, links):
-            if skip is not None and skip(title, text, own):
+        out = skip(titles, texts) if skip is not None else [False] * len(ids)
+        for i, url, title, text, own, left_out in zip(ids, urls, titles, texts, links, out):
+            if left_out:
                 continue
             x, lines = line_features(url, title, text, own)
             if len(lines):

@@ -32,8 +32,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d, "page_id", "url", "title", "text", "links")
     weights = spark.sparkContext.broadcast(residue.fit(pages))
 
-    def excluded(title: str | None, text: str, links: list | None) -> bool:
-        return keyword_pages.is_keyword_page(text) or residue.is_residue(weights.value, title, text)
+    def excluded(titles: list, texts: list) -> list[bool]:
+        scores = residue.page_scores(weights.value, titles, texts)
+        return [s > residue.ABOVE or keyword_pages.is_keyword_page(t) for s, t in zip(scores, texts)]
 
     return boilerplate.frame_lines(pages, excluded)
 

@@ -128,15 +128,25 @@ def _parted(title: str | None) -> str:
     return re.sub(r"\s+(?:-|–|\||::)\s+", "\n", title or "")
 
 
-def features(title: str | None, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """``(feature numbers, first position of each spot)`` of a page, the title's spots first."""
-    body = text or ""
-    tokens = _TOKEN.findall(body)
-    own = np.fromiter(map(_IDS.__getitem__, tokens), np.uint64, len(tokens))
-    head = np.fromiter(map(_IDS.__getitem__, _TOKEN.findall(_parted(title))), np.uint64)
-    size = np.uint64(min(12, len(body).bit_length()))
-    line = np.array([_LINE], np.uint64)
-    ids = np.concatenate([np.array([_TITLE], np.uint64), head, line, own, line])
+_NOTHING = np.zeros(0, np.int64)
+_HEAD, _TAIL = np.array([_TITLE], np.uint64), np.array([_LINE], np.uint64)
+
+
+def _page_ids(title: str | None, text: str | None) -> np.ndarray:
+    """The token identifiers of a page: title, line end, text, line end."""
+    get = _IDS.__getitem__
+    own = _TOKEN.findall(text or "")
+    head = _TOKEN.findall(_parted(title)) if title else ()
+    return np.concatenate([_HEAD, np.fromiter(map(get, head), np.uint64, len(head)), _TAIL, np.fromiter(map(get, own), np.uint64, len(own)), _TAIL])
+
+
+def _grams(pages: list[tuple]) -> tuple[tuple[np.ndarray, ...], np.ndarray, tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """Of ``(title, text)`` pages laid end to end: the 1-, 2- and 3-gram of every token, where each spot starts, the three
+    other features of every spot, the page of every spot, and where each page starts."""
+    each = [_page_ids(title, text) for title, text in pages]
+    offsets = np.cumsum([0, *map(len, each)])
+    ids = np.concatenate(each)
+    sizes = np.array([min(12, len(text or "").bit_length()) for _, text in pages], np.uint64)
     kind = ids >> np.uint64(62)
     edge, mark = kind == _EDGE_KIND, kind == _MARK_KIND
     # Around a mark every word counts as any word and the mark as any mark, so that what is learnt holds in other sentences.
@@ -144,35 +154,47 @@ def features(title: str | None, text: str | None) -> tuple[np.ndarray, np.ndarra
     beside[1:] |= mark[:-1]
     beside[:-1] |= mark[1:]
     context = np.where(mark, _ANY_MARK, np.where(beside & (kind == _WORD_KIND), _ANY_WORD, ids))
-    # An n-gram belongs to the spot of its first token; one that would start beyond an edge is its shorter self.
+    # An n-gram belongs to the spot of its first token; one that would go beyond an edge or the page is its shorter self.
     one, base = _mix(ids), _mix(context)
+    last = offsets[1:] - 1
     two = base.copy()
     two[:-1] = _mix(base[:-1] * np.uint64(3) + context[1:])
+    two[last] = base[last]
     three = two.copy()
     three[:-2] = np.where(edge[1:-1], two[:-2], _mix(two[:-2] * np.uint64(5) + context[2:]))
+    three[last], three[last - 1] = two[last], two[last - 1]
     first = np.flatnonzero(edge[:-1] & ~edge[1:])
     if not len(first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    stop = np.append(np.flatnonzero(edge), len(ids))
+        return (_NOTHING,) * 3, _NOTHING, (_NOTHING,) * 3, _NOTHING, offsets[:-1]
+    stop = np.flatnonzero(edge)
     length = stop[np.searchsorted(stop, first, side="right")] - first - 1
     windows = -(-length // WINDOW)
     nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     start = np.repeat(first, windows) + nth * WINDOW + (nth > 0)
+    owner = np.searchsorted(offsets, start, side="right") - 1
     bucket = np.repeat(np.minimum(length, 9), windows).astype(np.uint64)
     titled = np.repeat(ids[first] == np.uint64(_TITLE), windows)
-    extra = (
-        _mix(np.uint64(7) + bucket * np.uint64(64)),
-        _mix(np.uint64(11) + np.where(bucket > 8, np.uint64(0), size) * np.uint64(64) + (bucket > 8).astype(np.uint64)),
-        _mix(np.where(titled, np.uint64(13), np.uint64(17))),
+    # Long sentences are judged by their words alone: their length would outweigh a single mark.
+    long = bucket > 8
+    none = np.uint64(2**BITS - 1)
+    number = lambda x: (x & none).astype(np.int64)
+    others = (
+        number(np.where(long, none, _mix(np.uint64(7) + bucket * np.uint64(64)))),
+        number(np.where(long, none, _mix(np.uint64(11) + sizes[owner] * np.uint64(64)))),
+        number(_mix(np.where(titled, np.uint64(13), np.uint64(17)))),
     )
-    flat = np.stack([one, two, three], 1).ravel()
+    return (number(one), number(two), number(three)), start, others, owner, offsets[:-1]
+
+
+def features(title: str | None, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """``(feature numbers, first position of each spot)`` of a page, the title's spots first."""
+    grams, start, others, _, _ = _grams([(title, text)])
+    if not len(start):
+        return _NOTHING, _NOTHING
     at = start * 3
-    joined = np.insert(flat, np.repeat(at, 3), np.stack(extra, 1).ravel())
+    joined = np.insert(np.stack(grams, 1).ravel(), np.repeat(at, 3), np.stack(others, 1).ravel())
     begin = at + 3 * np.arange(len(at))
-    joined, begin = joined[begin[0] :], begin - begin[0]
-    # Long sentences are judged by their words alone: their length would outweigh a single mark.
-    joined[(begin[:, None] + np.arange(2)).ravel()[np.repeat(bucket > 8, 2)]] = np.uint64(2**BITS - 1)
-    return (joined & np.uint64(2**BITS - 1)).astype(np.int64), begin
+    return joined[begin[0] :], begin - begin[0]
 
 
 def _sentences(title: str | None, text: str | None) -> list[tuple[str, list[int]]]:
@@ -208,12 +230,34 @@ def spots(title: str | None, text: str | None) -> list[str]:
     return [s[i:j] for s, at in _sentences(title, text) for i, j in zip(at, [*at[1:], len(s)])]
 
 
+def _spot_scores(weights: np.ndarray, pages: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The score of every spot of the pages, and its page."""
+    (one, two, three), start, others, owner, offsets = _grams(pages)
+    if not len(start):
+        return np.zeros(0), _NOTHING
+    # A spot ends where the next one or the next page starts.
+    bounds = np.union1d(start, offsets)
+    sums = np.add.reduceat(weights[one] + weights[two] + weights[three], bounds)[np.searchsorted(bounds, start)]
+    return sums + weights[others[0]] + weights[others[1]] + weights[others[2]] + weights[-1], owner
+
+
 def scores(weights: np.ndarray, title: str | None, text: str | None) -> np.ndarray:
-    """The score of every spot."""
-    idx, begin = features(title, text)
-    if not len(begin):
-        return np.zeros(0)
-    return np.add.reduceat(weights[idx], begin) + weights[-1]
+    """The score of every spot of a page."""
+    return _spot_scores(weights, [(title, text)])[0]
+
+
+#: Pages that are scored together.
+GROUP = 128
+
+
+def page_scores(weights: np.ndarray, titles: list, texts: list) -> np.ndarray:
+    """The best score of every page; minus infinity for a page without spots."""
+    best = np.full(len(texts), -np.inf)
+    pages = list(zip(titles, texts))
+    for k in range(0, len(pages), GROUP):
+        s, owner = _spot_scores(weights, pages[k : k + GROUP])
+        np.maximum.at(best, owner + k, s)
+    return best
 
 
 def _fit(idx: list[np.ndarray], y: np.ndarray, stress: np.ndarray) -> np.ndarray:
@@ -360,8 +404,7 @@ def validate(pages: DataFrame, expected: int = TRAIN_PAGES) -> dict[str, float]:
 
 
 def is_residue(weights: np.ndarray, title: str | None, text: str | None) -> bool:
-    s = scores(weights, title, text)
-    return bool(len(s)) and bool(s.max() > ABOVE)
+    return bool(page_scores(weights, [title], [text])[0] > ABOVE)
 
 
 def residue_pages(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
@@ -371,12 +414,8 @@ def residue_pages(pages: DataFrame, weights: np.ndarray | None = None) -> DataFr
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     def run(ids: list, titles: list, texts: list) -> dict[str, list]:
-        out: dict[str, list] = {"page_id": [], "score": []}
-        for i, title, text in zip(ids, titles, texts):
-            s = scores(shared.value, title, text)
-            if len(s) and s.max() > ABOVE:
-                out["page_id"].append(i)
-                out["score"].append(float(s.max()))
-        return out
+        best = page_scores(shared.value, titles, texts)
+        hit = best > ABOVE
+        return {"page_id": [i for i, h in zip(ids, hit) if h], "score": best[hit].astype(float)}
 
     return map_columns(pages.select("page_id", "title", "text"), run, "page_id bigint, score double")
