@@ -227,6 +227,12 @@ def test_personal_items(spark):
     assert pii.personal_items(df.limit(0)).count() == 0
 
 
+def test_mail_addresses_end_with_their_host():
+    texts = ["Mail ann.lee@acme.example. Neither the lamp nor the order is here.", "Write to Ann Velmow at avelmow [at] acme [dot] test. In May we close.", "Send the form to a-v @ acme.example. Today"]
+    found = [[t[a:b] for a, b, k in f if k == "email"] for t, f in zip(texts, pii.find(texts))]
+    assert found == [["ann.lee@acme.example"], ["avelmow [at] acme [dot] test"], ["a-v @ acme.example"]]
+
+
 def test_windows_of_a_long_segment_agree():
     line = "Contact Leila Hestane at leila.h@acme.example or " * 12
     found = pii.find([line])[0]
