@@ -1,15 +1,12 @@
 """Problem 4: personal information by a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-1. Places that could hold something (a mail sign, a long group of digits, two capitalised words, a house number before a
-   name) are found by a pattern wide enough to let no kind through unseen; text around them, at most ``REACH`` characters
-   to either side, forms segments, and segments that touch are one.
+1. Every line of a text is a segment and is read whole; nothing is left out beforehand. Equal lines of a call are read once.
 2. Each segment is read in windows of ``WINDOW`` characters that overlap by ``OVERLAP``. Where windows overlap their
    emissions are averaged, and one Viterbi pass over the whole segment decides all its labels together.
 3. An exact check sets each span to the bounds of its token, address or number, and drops spans without the form of their
-   type.
+   type. Capitals of any script count in names, and so do particles between the parts and initials.
 
-Weights are those of ``pii_weights.npz``, made by ``pii_train`` (numpy, from labelled spans). Equal windows of a batch are
-read once. Texts are whole; nothing is shuffled.
+Weights are those of ``pii_weights.npz``, made by ``pii_train`` (numpy, from labelled spans). Texts are whole; nothing is shuffled.
 
 Defined results: NULL and empty texts hold nothing and come out as they are; repeated rows are judged alike; extra columns
 are ignored; placeholders are ``[EMAIL] [PHONE] [ID_NUMBER] [ADDRESS] [NAME]``.
@@ -18,6 +15,7 @@ are ignored; placeholders are ``[EMAIL] [PHONE] [ID_NUMBER] [ADDRESS] [NAME]``.
 from __future__ import annotations
 
 import re
+import sys
 from functools import lru_cache
 from pathlib import Path
 
@@ -31,8 +29,8 @@ TYPES = ("email", "phone", "id_number", "address", "name")
 TAGS = 1 + 2 * len(TYPES)  # none, then begin and inside of each type
 WINDOW = 160
 OVERLAP = 48
-REACH = 48
 HIDDEN = 32
+CELLS = 1 << 19  # characters decoded at once, which bounds memory; a longer line is decoded alone
 
 _COMMON = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n.,;:!?'\"()[]{}@/\\-–_+*#%&=<>|·º°áéíóúñäöüßÁÉÍÓÚÑÄÖÜåøæëèêç¿¡“”„’…"
 CHARS = {c: i + 5 for i, c in enumerate(_COMMON)}
@@ -49,45 +47,11 @@ def encode(text: str) -> np.ndarray:
     return np.fromiter((get(c) if c in CHARS else _rare(c) for c in text), np.int16, len(text))
 
 
-# Words that open sentences and menus rather than names (fixed values), and words before places.
-_OPENERS = frozenset(
-    """in since with last from between the our not no for some its at to on by each every most about under if when while where until after before im seit mit der die das den dem ein eine jeder jede jedes zwischen unser
-    unsere nicht wer wenn etwa zuerst auf nach kein keine en el la los las un una cada con si entre nuestro nuestra casi quien desde published copyright version order item home blog docs contact pricing services faq products
-    partners support press careers gallery locations sign cart imprint sitemap accessibility terms privacy cookie shipping report menu startseite kontakt preise produkte presse stellen galerie hilfe standorte anmelden
-    warenkorb impressum datenschutz nutzungsbedingungen barrierefreiheit inicio contacto precios productos prensa empleo galería ayuda tiendas acceder cesta january february march april may june july august september
-    october november december januar februar märz mai juni juli oktober dezember über quiénes aviso política condiciones accesibilidad mapa envíos""".split()
-)
-_BEFORE_PLACES = frozenset("in near from aus nach en".split())
-_CAP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+_LINE = re.compile(r"[^\n]+")
+_CAP = "A-ZÀ-ÖØ-Þ"
 _S = r"[^\S\n]+"
-_CAPITALS = re.compile(rf"[{_CAP}][\w'’-]*(?:,?{_S}[{_CAP}][\w.'’-]*)+")
-_DIGITS = re.compile(r"\d[\d ./()\-]{3,}[\dA-Za-z]")
-_CODE = re.compile(rf"[A-Z]{{1,2}}[-\s]?\d{{2,}}[A-Z\d /-]{{2,}}")
-_HOUSE = re.compile(rf"\d+[A-Za-z]?(?:-\d+)?,?{_S}[{_CAP}][\w\-]+{_S}[{_CAP}]|[{_CAP}]\w+,?{_S}\d{{1,3}}[a-z]?,{_S}[\d{_CAP}]")
-_AT = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|\sat\s\w+\sdot\s", re.I)
-_LONG_GROUP = re.compile(r"\d{3}")
-
-
-def _places(text: str) -> list[tuple[int, int]]:
-    """Where something could be: each pattern starts at a sign that is quickly found."""
-    lower = text.lower()
-    found = [m.span() for m in _AT.finditer(text)] if "@" in text or "at)" in lower or "at]" in lower or "at}" in lower or " dot " in lower else []
-    for m in _DIGITS.finditer(text):
-        digits = m.group()
-        if sum(map(str.isdigit, digits)) >= 6 and _LONG_GROUP.search(digits):
-            found.append(m.span())
-    found += [m.span() for m in _CODE.finditer(text) if sum(map(str.isdigit, m.group())) >= 5]
-    found += [m.span() for m in _HOUSE.finditer(text)]
-    for m in _CAPITALS.finditer(text):
-        words = [w.strip(",.") for w in m.group().split()]
-        if sum(len(w) > 1 and w.lower() not in _OPENERS for w in words) < 2:
-            continue
-        before = text[max(0, m.start() - 6) : m.start()].split()
-        if len(words) == 2 and before and before[-1] in _BEFORE_PLACES:
-            continue
-        found.append(m.span())
-    return sorted(found)
-
+# Capitals of every script, as a character class.
+_ANY_CAP = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper() or c.istitle())
 
 _DOT = r"(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\sdot\s)"
 EMAIL = re.compile(rf"[\w.+\-]+\s?(?:@|\(at\)|\[at\]|\{{at\}})\s?[\w\-]+(?:{_DOT}[A-Za-z][\w\-]*)+|[\w.+\-]+\sat\s[\w\-]+(?:\sdot\s[A-Za-z][\w\-]*)+", re.I)
@@ -97,18 +61,8 @@ PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
 
 def segments(text: str) -> list[tuple[int, int]]:
-    """Spans of ``text`` around the places that could hold something."""
-    spans: list[tuple[int, int]] = []
-    n = len(text)
-    for first, last in _places(text):
-        begin = max(text.rfind("\n", 0, first) + 1, first - REACH, 0)
-        stop = text.find("\n", last)
-        end = min(n if stop < 0 else stop, last + REACH)
-        if spans and begin <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
-        else:
-            spans.append((begin, end))
-    return spans
+    """The spans of the lines of ``text``: all of it but the line ends."""
+    return [m.span() for m in _LINE.finditer(text)]
 
 
 class Model:
@@ -149,9 +103,11 @@ class Model:
         """The best tags of each sequence; sequences are decoded together, longest first."""
         order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
         found: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
-        for k in range(0, len(order), 512):
-            part = order[k : k + 512]
-            t = len(scores[part[0]])
+        k = 0
+        while k < len(order):
+            t = len(scores[order[k]])
+            part = order[k : k + max(1, min(512, CELLS // max(1, t)))]
+            k += len(part)
             e = np.zeros((t, len(part), TAGS), np.float32)
             lengths = np.array([len(scores[p]) for p in part])
             for j, p in enumerate(part):
@@ -252,7 +208,9 @@ _ADDRESS_FORM = re.compile(rf"(?:\d+[A-Za-z]?(?:-\d+)?|[{_CAP}][\w]+(?:{_S}\w+){
 _POSTCODE_END = re.compile(r"\s\d[A-Z]{2}\b")
 _LEAD = re.compile(r"(?:By|Posted by|Written by|Text:|Von|Verfasst von|Por|Escrito por|Texto:)\s+")
 _WORD_SIGN = re.compile(r"[\w'’\-]")
-_NAME_FORM = re.compile(rf"[{_CAP}][\w'’\-]+(?:,?\s+[{_CAP}][\w'’\-]*\.?)*,?\s+[{_CAP}][\w'’\-]+")
+# Parts with a capital, apart by blanks and up to three short words (de la, van der); one part at least is no initial.
+_PART = rf"(?:[^\W\d_]{{1,3}}['’])?[{_ANY_CAP}][\w'’\-]*"
+_NAME_FORM = re.compile(rf"(?=(?s:.*)[{_ANY_CAP}][\w'’\-]){_PART}(?:[.,]{{0,2}}\s+(?:[^\W\d_]{{1,5}}\s+){{0,3}}{_PART})+\.?")
 
 
 def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
@@ -291,18 +249,26 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
 
 def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     """``(start, end, type)`` of the items in each text, in order and apart from each other."""
-    owners, spans, pieces = [], [], []
-    for k, text in enumerate(texts):
-        for a, b in segments(text) if text else ():
-            owners.append(k)
-            spans.append((a, b))
-            pieces.append(text[a:b])
+    cuts = [segments(text) if text else [] for text in texts]
+    pieces = list(dict.fromkeys(text[a:b] for text, own in zip(texts, cuts) for a, b in own))
+    marked: dict[str, list[tuple[int, int, str]]] = {}
+    at = 0
+    while at < len(pieces):
+        part, size = [], 0
+        while at < len(pieces) and (not part or size + len(pieces[at]) <= CELLS):
+            part.append(pieces[at])
+            size += len(pieces[at])
+            at += 1
+        for piece, tags in zip(part, tag(part)):
+            if spans := tag_spans(tags):
+                marked[piece] = spans
     found: list[dict] = [{} for _ in texts]
-    for k, (a, _), tags in zip(owners, spans, tag(pieces)):
-        for i, j, kind in tag_spans(tags):
-            span = checked(texts[k], a + i, a + j, kind)
-            if span:
-                found[k].setdefault(span, kind)
+    for k, own in enumerate(cuts):
+        for a, b in own:
+            for i, j, kind in marked.get(texts[k][a:b], ()):
+                span = checked(texts[k], a + i, a + j, kind)
+                if span:
+                    found[k].setdefault(span, kind)
     out = []
     for items in found:
         kept: list[tuple[int, int, str]] = []

@@ -239,6 +239,23 @@ def test_windows_of_a_long_segment_agree():
     assert [line[a:b] for a, b, k in found if k == "email"] == ["leila.h@acme.example"] * 12
 
 
+def test_tagger_reads_every_character(monkeypatch):
+    read = []
+    tag = pii.tag
+    monkeypatch.setattr(pii, "tag", lambda pieces, net=None: read.extend(pieces) or tag(pieces, net))
+    text = "nothing here\n\nA letter from John Smith came.\nBy April Jones\n" + "small words " * 60 + "\nlast"
+    pii.find([text, text, None, ""])
+    assert read == [x for x in dict.fromkeys(text.split("\n")) if x]
+
+
+def test_names_and_phones_the_prefilter_left_out():
+    text = "Post aus Greta Wessow kam.\nThe visitor gave their name as Łukasz Kowalski and left.\nOur trainer J. Smith can be reached at 01 42 68 53 00.\nCall +49 30 12 34 56 78 on weekdays.\nTel. 01 42 68 53 00"
+    got = {(k, text[a:b]) for a, b, k in pii.find([text])[0]}
+    assert got >= {("name", "Greta Wessow"), ("name", "Łukasz Kowalski"), ("name", "J. Smith"), ("phone", "+49 30 12 34 56 78"), ("phone", "01 42 68 53 00")}
+    assert all(pii.checked(x, 0, len(x), "name") == (0, len(x)) for x in ("María de la Torre", "Jeanne d'Arc", "J. R. Smith", "Иван Петров", "April Jones", "Smith, J", "Greta T. Wessow"))
+    assert not any(pii.checked(x, 0, len(x), "name") for x in ("the lamp", "Lamp", "A B C"))
+
+
 def test_tagger_on_held_out_spans():
     from corpusloom.llm import pii_train
 
