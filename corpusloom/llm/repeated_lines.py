@@ -1,9 +1,12 @@
 """Problem 7: lines repeated across one host's pages, found by PrefixSpan over line identifiers.
 
 The sequence database of a host holds one sequence of line identifiers per page. Level 1 counts, per host, the pages a
-line occurs in; level k+1 grows every frequent pattern by the frequent line that follows it (the projected database holds
-one row per occurrence of the pattern). Support is the number of distinct pages, and a pattern is frequent from
-``min_pages`` pages and ``min_share`` of the host's pages on.
+line occurs in. Longer patterns grow from every frequent line: a prefix is projected on what follows its first occurrence
+in each page and extended by every later frequent line there, next to it or not, until no pattern is frequent; there is no
+greatest length. Support is the number of distinct pages, and a pattern is frequent from ``min_pages`` pages and
+``min_share`` of the host's pages on. Of the longer patterns the closed ones are listed, those that no longer pattern
+holds with the same support: a frame of 26 lines has 67 million sub-patterns, and each has the support of the best closed
+pattern that holds it.
 
 Defined results: two lines are one line if their letters agree after lower-casing; lines without letters and NULL or empty
 texts have no identifier and never count. A page whose host is NULL or cannot be read belongs to no source and has no
@@ -13,6 +16,7 @@ columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,51 +54,98 @@ def frequent_lines(sequences: DataFrame, min_pages: int = MIN_PAGES, min_share:
     return counts.join(sizes, "host").where(F.col("pages") >= min_share * F.col("host_pages"))
 
 
+def closed_patterns(sequences: list[tuple[tuple, int]], first, least: float) -> list[tuple[tuple, int]]:
+    """The closed patterns of two or more items that begin with ``first``, with their support, from ``(sequence, weight)``
+    of all sequences that hold ``first``.
+
+    PrefixSpan with the tests of BIDE. Where an item can be put into a gap of the pattern in every sequence, the pattern is
+    not closed; where that holds within the first occurrence in every sequence, nothing that grows from it is.
+    """
+    found: list[tuple[tuple, int]] = []
+
+    def inserted(prefix: tuple, rows: list[tuple[int, list[int]]], within_first: bool) -> bool:
+        """Whether one item fits into the same gap of ``prefix`` in all rows."""
+        n = len(prefix)
+        common: list[set | None] = [None] * n
+        for k, ends in rows:
+            items = sequences[k][0]
+            stop = ends[-1] if within_first else len(items)
+            for i in range(n - 1, -1, -1):
+                stop -= 1
+                while items[stop] != prefix[i]:
+                    stop -= 1
+                if common[i] is None or common[i]:
+                    gap = items[ends[i - 1] if i else 0 : stop]
+                    common[i] = set(gap) if common[i] is None else common[i].intersection(gap)
+            if not any(common):
+                return False
+        return True
+
+    stack = [((first,), [(k, [items.index(first) + 1]) for k, (items, _) in enumerate(sequences)])]
+    while stack:
+        prefix, rows = stack.pop()
+        if inserted(prefix, rows, True):
+            continue
+        support = sum(sequences[k][1] for k, _ in rows)
+        later: dict = {}
+        for k, ends in rows:
+            items, weight = sequences[k]
+            for item in set(items[ends[-1] :]):
+                later[item] = later.get(item, 0) + weight
+        if len(prefix) > 1 and support not in later.values() and not inserted(prefix, rows, False):
+            found.append((prefix, support))
+        for item, pages in later.items():
+            if pages >= least:
+                grown = []
+                for k, ends in rows:
+                    try:
+                        grown.append((k, [*ends, sequences[k][0].index(item, ends[-1]) + 1]))
+                    except ValueError:
+                        continue
+                stack.append(((*prefix, item), grown))
+    return found
+
+
 def frequent_sequences(
-    pages: DataFrame,
-    min_pages: int = MIN_PAGES,
-    min_share: float = MIN_SHARE,
-    max_length: int = 4,
-    id_col: str = "page_id",
+    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_col: str = "page_id"
 ) -> DataFrame:
-    """All frequent patterns up to ``max_length`` lines: ``host, pattern`` (array of identifiers), ``length, pages``.
+    """``host, pattern`` (array of identifiers), ``length, pages``: every frequent line and every closed frequent pattern of
+    two or more.
 
-    A pattern's lines follow each other in the page's sequence of frequent lines: infrequent lines between them are
-    skipped, as no frequent pattern can hold them.
+    Infrequent lines are left out first, as no frequent pattern can hold them, and equal sequences of a host are counted
+    into one. A host is dealt out by the first line of the patterns, so a hot host spreads over its lines.
     """
     sequences = cut(line_sequences(pages, id_col))
-    first = frequent_lines(sequences, min_pages, min_share)
-    placed = _placed(sequences, first, id_col)
-    following = F.lead("key").over(_by_page(id_col))
-    steps = cut(
-        placed.withColumn("rank", F.row_number().over(_by_page(id_col))).withColumn("next_key", following)
+    first = cut(frequent_lines(sequences, min_pages, min_share))
+    lines = first.groupBy("host", "host_pages").agg(F.collect_list("key").alias("frequent"))
+    kept = F.filter("keys", lambda key: F.array_contains("frequent", key))
+    weighted = (
+        sequences.join(lines, "host")
+        .select("host", "host_pages", kept.alias("items"))
+        .where(F.size("items") > 1)
+        .groupBy("host", "host_pages", "items")
+        .agg(F.count("*").alias("weight"))
     )
-    result = first.select("host", F.array("key").alias("pattern"), F.lit(1).alias("length"), "pages", "host_pages")
-    projected = steps.select("host", id_col, "rank", F.array("key").alias("pattern"), "next_key", "host_pages")
-    for length in range(2, max_length + 1):
-        grown = projected.where("next_key is not null").select(
-            "host", id_col, (F.col("rank") + 1).alias("rank"),
-            F.concat("pattern", F.array("next_key")).alias("pattern"), "host_pages",
-        )
-        support = (
-            grown.groupBy("host", "pattern", id_col)
-            .agg(F.first("host_pages").alias("host_pages"))
-            .groupBy("host", "pattern", "host_pages")
-            .agg(F.count("*").alias("pages"))
-            .where((F.col("pages") >= min_pages) & (F.col("pages") >= min_share * F.col("host_pages")))
-        )
-        result = result.unionByName(support.select("host", "pattern", F.lit(length).alias("length"), "pages", "host_pages"))
-        if length < max_length:
-            projected = grown.join(support.select("host", "pattern"), ["host", "pattern"], "left_semi").join(
-                steps.select(id_col, "rank", "next_key"), [id_col, "rank"]
-            )
-    return result.drop("host_pages")
-
 
-def _by_page(id_col: str):
-    from pyspark.sql import Window
+    def mine(key: tuple, part: pa.Table) -> pa.Table:
+        host, host_pages, item = (x.as_py() for x in key)
+        rows = [(tuple(items), n) for items, n in zip(part["items"].to_pylist(), part["weight"].to_pylist())]
+        found = closed_patterns(rows, item, max(min_pages, min_share * host_pages))
+        return pa.table(
+            {
+                "host": pa.array([host] * len(found), pa.string()),
+                "pattern": pa.array([list(p) for p, _ in found], pa.list_(pa.int64())),
+                "length": pa.array([len(p) for p, _ in found], pa.int32()),
+                "pages": pa.array([n for _, n in found], pa.int64()),
+            }
+        )
 
-    return Window.partitionBy(id_col).orderBy("line_no")
+    longer = (
+        weighted.withColumn("item", F.explode(F.array_distinct("items")))
+        .groupBy("host", "host_pages", "item")
+        .applyInArrow(mine, "host string, pattern array<bigint>, length int, pages bigint")
+    )
+    return first.select("host", F.array("key").alias("pattern"), F.lit(1).alias("length"), "pages").unionByName(longer)
 
 
 def _placed(sequences: DataFrame, frequent: DataFrame, id_col: str) -> DataFrame:

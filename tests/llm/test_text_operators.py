@@ -117,6 +117,38 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_lines(df.limit(0)).count() == 0
 
 
+def brute_closed(rows, least):
+    """Frequent patterns of two or more that no longer pattern holds with the same support."""
+    support: dict = {}
+    for items, n in rows:
+        for p in {tuple(items[i] for i in at) for k in range(1, len(items) + 1) for at in combinations(range(len(items)), k)}:
+            support[p] = support.get(p, 0) + n
+
+    def holds(long, short):
+        rest = iter(long)
+        return all(x in rest for x in short)
+
+    often = {p: n for p, n in support.items() if n >= least}
+    return {p: n for p, n in often.items() if len(p) > 1 and not any(m == n and len(q) > len(p) and holds(q, p) for q, m in often.items())}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abcd"), max_size=6).map(tuple), st.integers(1, 3)), max_size=7), st.integers(1, 5))
+def test_closed_patterns_against_brute_force(rows, least):
+    firsts = {x for items, _ in rows for x in items}
+    got = [f for x in firsts for f in repeated_lines.closed_patterns([r for r in rows if x in r[0]], x, least)]
+    assert dict(got) == brute_closed(rows, least) and len(dict(got)) == len(got)
+
+
+def test_patterns_skip_lines_and_have_no_greatest_length(spark):
+    frame = "\n".join(["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"])
+    rows = [(i, f"https://a.example/{i}", "alpha\ngamma" if i < 4 else "alpha\nbeta\ngamma") for i in range(10)]
+    rows += [(20 + i, f"https://b.example/{i}", frame) for i in range(6)]
+    got = repeated_lines.frequent_sequences(spark.createDataFrame(rows, "page_id bigint, url string, text string")).collect()
+    assert sorted((r["length"], r["pages"]) for r in got if r["host"] == "a.example") == [(1, 6), (1, 10), (1, 10), (2, 10), (3, 6)]
+    assert sorted((r["length"], r["pages"]) for r in got if r["host"] == "b.example") == [(1, 6)] * 7 + [(7, 6)]
+
+
 # ---- keyword pages
 
 
