@@ -159,8 +159,9 @@ def repeated_lines(
 ) -> DataFrame:
     """``id, line_no`` of the lines covered by occurrences of frequent patterns of any length.
 
-    Support never grows with length, so each line of a frequent pattern is a frequent pattern itself and level 1 covers
-    them all; longer patterns are listed by ``frequent_sequences``.
+    This is level 1 alone, a count of single lines; no prefix is projected here. Support never grows with length, so each
+    line of a frequent pattern is a frequent pattern itself and level 1 covers them all; longer patterns are listed by
+    ``frequent_sequences``.
     """
     sequences = cut(line_sequences(pages, id_col))
     return _placed(sequences, frequent_lines(sequences, min_pages, min_share), id_col).select(

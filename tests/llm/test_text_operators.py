@@ -149,6 +149,19 @@ def test_patterns_skip_lines_and_have_no_greatest_length(spark):
     assert sorted((r["length"], r["pages"]) for r in got if r["host"] == "b.example") == [(1, 6)] * 7 + [(7, 6)]
 
 
+def test_level_one_covers_the_lines_of_all_patterns(spark):
+    rnd = random.Random(13)
+    frame = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"]
+    rows = [(i, f"https://h{i % 2}.example/{i}", "\n".join(x for x in [*frame, "own " + "abcdefghij"[i % 10] * (i + 1)] if rnd.random() < 0.5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, text string")
+    keys = {(r["page_id"], n): (r["host"], key) for r in repeated_lines.line_sequences(df).collect() for n, key in enumerate(r["keys"])}
+    in_patterns = {(r["host"], key) for r in repeated_lines.frequent_sequences(df).collect() if r["length"] > 1 for key in r["pattern"]}
+    got = {tuple(r) for r in repeated_lines.repeated_lines(df).collect()}
+    assert in_patterns and {at for at, line in keys.items() if line in in_patterns} <= got
+    singles = {(r["host"], r["pattern"][0]) for r in repeated_lines.frequent_sequences(df).collect() if r["length"] == 1}
+    assert got == {at for at, line in keys.items() if line in singles | in_patterns}
+
+
 # ---- keyword pages
 
 
