@@ -125,6 +125,7 @@ FEATURES = (
     "words", "density", "words_before", "density_before", "words_after", "density_after", "from_start", "from_end", "ends_sentence",
     "is_title", "in_list", "contact", "opens", "crumbs", "slug",
 )
+LONGEST_TITLE = 30  # words; a longer line is a paragraph
 _LEAD = re.compile(r"^\W*[^\W\d_][^:·|]{2,24}?\s*[:·]\s")
 
 
@@ -158,20 +159,15 @@ def line_features(url: str | None, title: str | None, text: str, links: list | N
     slugs = tuple({s.rstrip("/").rsplit("/", 1)[-1].rsplit("-", 1)[0][:30] for s in links or () if s and len(s.rstrip("/").rsplit("/", 1)[-1]) > 8})
     head = re.sub(r"\s+(?:-|–|\||::)\s+\S+$", "", title.strip()).lower() if title else ""
     rows, numbers = [], []
-    run = 0
+    listing = False
     for number, line in enumerate(text.split("\n")):
         bare = line.strip()
         if not bare:
             continue
         n, density, ended, opens, heading, contact, crumbs, slug = (_block if len(bare) < 200 else _block.__wrapped__)(bare, site)
-        in_list = False
-        if heading:
-            run = 1
-        elif run and 3 <= n <= 16 and not ended and density < 0.5 and run < 8:
-            run += 1
-            in_list = True
-        else:
-            run = 0
+        # A list under its heading goes on, however long, until a line with the form of a sentence, a paragraph or a menu.
+        in_list = listing and not heading and 1 <= n <= LONGEST_TITLE and not ended and density < 0.5
+        listing = heading or in_list
         linked = bool(slugs) and slug != "" and slug.startswith(slugs)
         numbers.append(number)
         rows.append((n, density, 0, 0, 0, 0, len(rows), 0, ended, head != "" and len(bare) == len(head) and bare.lower() == head, in_list, contact, opens, crumbs, linked))

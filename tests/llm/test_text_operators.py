@@ -237,6 +237,18 @@ def test_frame_lines(spark):
     assert boilerplate.frame_lines(df.limit(0)).count() == 0
 
 
+def test_a_list_of_other_pages_has_no_greatest_length():
+    rnd = random.Random(14)
+    titles = [f"{a} {b} for the {c}" for a, b, c in zip(["Narrow", "Heavy", "Quiet", "Robust"] * 4, ["lamps", "panels", "kettles"] * 6, ["garden", "team", "order", "frost", "report"] * 4)]
+    page = lambda: "\n".join(["The lamp guide", prose(rnd, 3), "Related articles", *titles, prose(rnd, 2), "Made for the inspector", prose(rnd, 3)])
+    x, numbers = boilerplate.line_features("https://www.acme.example/blog/x", "The lamp guide", page(), None)
+    frame = {n for n, p in zip(numbers, boilerplate.trained_tree().predict(x)) if p > 0.5}
+    assert frame == set(range(2, 3 + len(titles)))
+    titles[4], titles[6] = "Quiet lamps", "Why a quiet team that stored the lamp in the frost of the garden wrote a long report on it"
+    x, numbers = boilerplate.line_features("https://www.acme.example/blog/x", "The lamp guide", page(), None)
+    assert [n for n, row in zip(numbers, x) if row[boilerplate.FEATURES.index("in_list")]] == list(range(3, 3 + len(titles)))
+
+
 def test_tree_on_held_out_labelled_pages():
     tree, wrong, total = boilerplate.trained_tree(), 0, 0
     for url, title, text, links, labels in boilerplate.labelled_pages(100, seed=77):
