@@ -4,11 +4,12 @@ Each line is cut at sentence ends and every part is reduced to a shape: bucketed
 capitalised, its separators, whether it is or holds a link, whether words repeat, and how it ends. Parts of one shape are
 grouped within the page. A shape is a sentence shape if it ends like a sentence, is long enough, keeps most of its words
 distinct and is no list. A page is flagged when sentence shapes hold at most one part and a small share of its words, and
-the few largest non-sentence shapes dominate the rest.
+the few largest non-sentence shapes dominate the rest. A page of few words counts too if it holds enough items: links,
+keywords set apart, or the words of a part that repeats its words.
 
 All counts are taken over the whole text of a page, inside its row: nothing is shuffled.
 
-Defined results: NULL and empty texts are not flagged; NULL or empty ``links`` count as no links. Repeated rows are judged
+Defined results: NULL and empty texts are not flagged; links are those that stand in the text. Repeated rows are judged
 alike. Extra columns are ignored.
 """
 
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_columns
 
-#: At least so many words outside sentences, at most so many sentences, and their share of words.
+#: At least so many words outside sentences or so many items, at most so many sentences, and their share of words.
 MIN_WORDS = 40
+MIN_ITEMS = 10
 MAX_SENTENCES = 1
 MAX_SENTENCE_SHARE = 0.4
 #: So many shapes are "few", and hold so much of the words outside sentences.
@@ -33,6 +35,8 @@ DOMINANT = 0.6
 _PART = re.compile(r"(?<=[.!])[\"'”’)]*\s+(?=[A-ZÀ-Þ¿¡0-9\"“(])")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
+_APART = re.compile(r"[|,;/·•»>#–—]|\s-\s")
+_ITEM = re.compile(r"[^\W_]+(?:[ '’&+.-]+[^\W_]+){0,5}")
 _SEPARATORS = re.compile(r"[|,;/·•»>#_–—]|\s-\s")
 #: Frequent words that join others into sentences (fixed values).
 _JOINING = frozenset(
@@ -101,7 +105,23 @@ def measure(text: str, stop_above: float = float("inf")) -> tuple[int, int, int,
     return sentences, inside, outside, top / outside if outside else 0.0
 
 
-def is_keyword_page(text: str | None, links: list | None = None) -> bool:
+def items(text: str) -> int:
+    """Links, keywords set apart and words of repeating parts, outside sentences; placeholders and code are none."""
+    count = 0
+    for line in text.split("\n"):
+        for part in _PART.split(line):
+            form, n, is_sentence = shape(part.strip())
+            if is_sentence:
+                continue
+            count += len(_URL.findall(part))
+            if len(form) > 4 and form[4]:
+                count += n
+            else:
+                count += sum(bool(_ITEM.fullmatch(x.strip(" .!?"))) for x in _APART.split(_URL.sub(",", part)))
+    return count
+
+
+def is_keyword_page(text: str | None) -> bool:
     if not text:
         return False
     found = measure(text, MAX_SENTENCES)
@@ -109,10 +129,10 @@ def is_keyword_page(text: str | None, links: list | None = None) -> bool:
         return False
     sentences, inside, outside, dominant = found
     return (
-        outside >= MIN_WORDS
-        and sentences <= MAX_SENTENCES
+        sentences <= MAX_SENTENCES
         and inside <= MAX_SENTENCE_SHARE * (inside + outside)
         and dominant >= DOMINANT
+        and (outside >= MIN_WORDS or items(text) >= MIN_ITEMS)
     )
 
 

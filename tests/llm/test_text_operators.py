@@ -178,6 +178,15 @@ def test_keyword_pages(spark):
     assert keyword_pages.keyword_pages(df.limit(0)).count() == 0
 
 
+def test_keyword_pages_of_few_words():
+    links = "\n".join(f"https://a.example/{i}" for i in range(30))
+    keys = "lamp | garden lamp | kettle | panel | quiet lamp | frost | report | lamp 12 | team | order"
+    repeated = "quiet lamp cheap quiet lamp best quiet lamp garden lamp quiet lamp buy quiet lamp"
+    calm = ["#{subtitle}\nBy ${author.name}\nPrice: {{company}} %PAGE_TITLE%\n%%SLOGAN%%.\nName: <%= product_name %>", "Home | Blog | Contact\nThe lamp guide", "The lamp is stored in the garden.", "404 Not found"]
+    assert all(map(keyword_pages.is_keyword_page, (links, keys, repeated)))
+    assert not any(map(keyword_pages.is_keyword_page, calm))
+
+
 # ---- template residue
 
 
