@@ -4,8 +4,8 @@ A page is a row of spots: windows of up to ``WINDOW`` tokens of its title and of
 features are the hashed 1-, 2- and 3-grams that begin in it (of words, digit groups, marks, and one token for anything in
 template brackets, by bracket and letter case), with tokens for the edges of the sentence, for being in the title, for the
 sentence's length and for the size of the page. The weights are fitted by
-L2-regularised logistic regression on weak labels: known phrases, and for short pages the statuses that their own wording
-or their site's snapshot names. A page is flagged when its best spot scores above ``ABOVE``.
+L2-regularised logistic regression on weak labels: known phrases, statuses among them, in the page's own wording. No other
+table is read. A page is flagged when its best spot scores above ``ABOVE``.
 
 Fitting reads a bounded sample: ``TRAIN_PAGES`` pages expected, drawn by a hash of the id; the weights are ``2**BITS``
 floats whatever the input. ``validate`` fits without the hosts whose hash falls in the held-out share and measures on
