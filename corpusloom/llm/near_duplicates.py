@@ -10,6 +10,8 @@
 A shared value stays next to the following shared value unless a value of one text alone falls between them, so a pair of
 similarity s keeps a run of r with the chance that k draws of probability s hold r successes in a row: for k = 64, r = 4
 all but 4 in 10,000 pairs at 0.7 itself, all but 3 in 100,000 at 0.75, all but 1 in a million at 0.8.
+Whole sketches miss none at 0.7 or above: in a union of u < k values more than two thirds are shared, so from u = 21 on
+some three of them are neighbours, and two texts of a smaller union share single values.
 
 Defined results: NULL texts and texts with fewer than ``min_tokens`` tokens take no part in pairs; in the groups each is
 its own class. Ids must be unique; of repeated ids one row is used. Extra columns are ignored.
@@ -33,6 +35,8 @@ MIN_TOKENS = 1
 SKETCH = 64
 RUN = 4
 SHORT_RUN = 3
+#: Texts of so few shingles are listed under single values: 14 shared values of 20 can lie without a run of three.
+SINGLES = 20
 ERRORS = 4.0
 #: Up to so many ids are sent to every executor (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -119,7 +123,7 @@ def _postings(heads: DataFrame, k: int) -> DataFrame:
         keys, owners, n = [], [], []
         for i, size, raw in zip(ids, sizes, drawn):
             sketch = np.frombuffer(raw, np.uint64)
-            own = runs(sketch, RUN) if len(sketch) > k // 4 else runs(sketch, 1)
+            own = runs(sketch, RUN) if len(sketch) > max(k // 4, SINGLES) else runs(sketch, 1)
             if len(sketch) < k:
                 own = np.concatenate([own, runs(sketch, SHORT_RUN)])
             own = np.unique(own)

@@ -95,6 +95,19 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_short_sketches_share_a_key(spark):
+    """Shared values that lie in twos, so that no three of them are neighbours: 12 of 17 and 14 of 20."""
+    rows = []
+    for pattern in ("11011011011011011", "11011011011011011011"):
+        values = np.array(sorted(random.Random(16).sample(range(1 << 40), len(pattern))), np.uint64)
+        for part in (values, values[[c == "1" for c in pattern]]):
+            rows.append((len(rows), len(part), bytearray(part.tobytes())))
+    keys: dict = {}
+    for r in near_duplicates._postings(spark.createDataFrame(rows, "id bigint, n_shingles int, sketch binary"), near_duplicates.SKETCH).collect():
+        keys.setdefault(r["id"], set()).add(r["key"])
+    assert keys[0] & keys[1] and keys[2] & keys[3]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a bigint, b bigint")
     got = {r["class_id"]: r["group_id"] for r in near_duplicates.components(links).collect()}
