@@ -5,12 +5,13 @@ capitalised, its separators, whether it is or holds a link, whether words repeat
 grouped within the page. A shape is a sentence shape if it ends like a sentence, is long enough, keeps most of its words
 distinct and is no list. A page is flagged when sentence shapes hold at most one part and a small share of its words, and
 the few largest non-sentence shapes dominate the rest. A page of few words counts too if it holds enough items: links,
-keywords set apart, or the words of a part that repeats its words.
+keywords set apart, or the words of a part that repeats its words. So does a page of at most one sentence whose ``links`` are
+many (``MIN_LINKS``) and at least as many as its words. No word list is used: words that join others are told by their length.
 
 All counts are taken over the whole text of a page, inside its row: nothing is shuffled.
 
-Defined results: NULL and empty texts are not flagged; links are those that stand in the text. Repeated rows are judged
-alike. Extra columns are ignored.
+Defined results: NULL and empty texts are not flagged, whatever their links; NULL and empty links are no links, and equal links
+count once. Repeated rows are judged alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from corpusloom.llm.common import map_columns
 #: At least so many words outside sentences or so many items, at most so many sentences, and their share of words.
 MIN_WORDS = 40
 MIN_ITEMS = 10
+MIN_LINKS = 100
 MAX_SENTENCES = 1
 MAX_SENTENCE_SHARE = 0.4
 #: So many shapes are "few", and hold so much of the words outside sentences.
@@ -38,12 +40,8 @@ _URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _APART = re.compile(r"[|,;/·•»>#–—]|\s-\s")
 _ITEM = re.compile(r"[^\W_]+(?:[ '’&+.-]+[^\W_]+){0,5}")
 _SEPARATORS = re.compile(r"[|,;/·•»>#_–—]|\s-\s")
-#: Frequent words that join others into sentences (fixed values).
-_JOINING = frozenset(
-    "a an and as at by for from how in is it of on or that the this to what when with was are be been has had not so if you your we our "
-    "der die das den dem des ein eine einen und oder ist im in am an auf aus bei für mit nach seit von vor wird werden weil damit wer "
-    "el la los las un una y o de del en con por para que se es su al sin desde porque cada cuando".split()
-)
+#: Words that join others into sentences (articles, prepositions, pronouns) are short in the languages at hand, and not the same again and again.
+_JOINING = 3
 
 
 def shape(part: str) -> tuple[tuple, int, bool]:
@@ -61,12 +59,12 @@ def shape(part: str) -> tuple[tuple, int, bool]:
     pairs = list(zip(lower, lower[1:]))
     repeats = len(pairs) - len(set(pairs))
     repeated = repeats >= 2 and repeats >= (0.1 if n <= 60 else 0.45) * len(pairs)
-    joining = sum(w in _JOINING for w in lower)
+    short = [w for w in words if len(w) <= _JOINING and w.islower()]
     end = bare.rstrip(" \"'”’)»")[-1:]
     ended = end in ".!?…" and not bare.rstrip().endswith(" …")
     digits = sum(any(c.isdigit() for c in w) for w in words)
     plain = ended and n >= 4 and 1 <= capital <= max(3, 0.6 * n) and listed - separators[","] <= 0.2 * n and separators[","] <= 0.3 * n
-    running = n >= 10 and joining >= 0.22 * n and listed <= 0.15 * n
+    running = n >= 10 and len(short) >= 0.22 * n and len(set(short)) >= min(6, 0.22 * n) and listed <= 0.15 * n
     sentence = (plain or running) and not (n >= 10 and repeated) and links == 0
     size = n if n < 6 else 6 + n // 4 if n < 30 else 14
     kind = separators.most_common(1)[0][0] if listed >= 2 else ""
@@ -121,13 +119,16 @@ def items(text: str) -> int:
     return count
 
 
-def is_keyword_page(text: str | None) -> bool:
+def is_keyword_page(text: str | None, links: list | None = None) -> bool:
     if not text:
         return False
     found = measure(text, MAX_SENTENCES)
     if found is None:
         return False
     sentences, inside, outside, dominant = found
+    own_links = len({x for x in links or () if x})
+    if own_links >= max(MIN_LINKS, inside + outside):
+        return True
     return (
         sentences <= MAX_SENTENCES
         and inside <= MAX_SENTENCE_SHARE * (inside + outside)
@@ -136,18 +137,18 @@ def is_keyword_page(text: str | None) -> bool:
     )
 
 
-def keyword_pages(pages: DataFrame, text_col: str = "text", id_col: str = "page_id") -> DataFrame:
+def keyword_pages(pages: DataFrame, text_col: str = "text", id_col: str = "page_id", links_col: str = "links") -> DataFrame:
     """The pages that are flagged: ``id``, ``sentences``, ``words_outside``, ``dominant``."""
 
-    def run(ids: list, texts: list) -> dict[str, list]:
+    def run(ids: list, texts: list, links: list) -> dict[str, list]:
         out: dict[str, list] = {"id": [], "sentences": [], "words_outside": [], "dominant": []}
-        for i, text in zip(ids, texts):
-            if is_keyword_page(text):
+        for i, text, own in zip(ids, texts, links):
+            if is_keyword_page(text, own):
                 sentences, _, outside, dominant = measure(text)
                 for k, v in zip(out, (i, sentences, outside, dominant)):
                     out[k].append(v)
         return out
 
-    source = pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where("body is not null and body != ''")
+    source = pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(links_col).alias("links")).where("body is not null and body != ''")
     found = map_columns(source, run, "id bigint, sentences int, words_outside int, dominant double")
     return found.withColumnRenamed("id", id_col)
