@@ -1,187 +1,232 @@
 """Problem 1: the frame around a page's own words, by block features and a decision tree.
 
-A line is a block. Its features are its word count and link density, those of its neighbours, its place, how it ends, and
-a few marks of its form. Link density is the share of its words that are anchor text: covered, longest match first, by the
-anchor phrases of the labelled table (digits count as one sign, the site's own name as ``SITE``), or by the slug of one of
-the page's links. The tree is grown on the labelled table: its lines, set into pages by a seeded rule, so that every kind
-of frame line stands at the places where such lines stand.
-
-Defined results: NULL and empty texts have no lines of either kind; blank lines belong to neither; NULL or empty titles and
-links only leave their features at 0. Repeated rows are judged alike. Extra columns are ignored.
+A line is a block. Flat texts hold no anchors, so link density is read off the crawl: a part of a line (between separators,
+colons and sentence ends) counts as anchor text where it recurs on the page's host, or where the pages that hold it are mostly
+pages of hosts on which it recurs. Two parts are one if their words agree after lower-casing, numbers ignored and the site's own
+name taken as one word. A part recurs on a host with at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages. No
+list of phrases is used anywhere; a site whose words stand in no table is judged by its own pages.
+
+1. One pass over the pages turns each into its parts (hash, line, words) and a few numbers for each line.
+2. Parts are counted by host, map-side first; what recurs somewhere is joined back to the pages' parts. Keys of a hot host
+   spread over its parts, and adaptive execution splits a hot part.
+3. A decision tree, grown on the labelled table beside this file (``frame_lines.npz``: at most ``LABELLED`` lines, as features
+   and labels), judges each line by its own values and those of its neighbours: words, density, recurrence, form and place.
+
+Defined results: NULL and empty texts have no lines of either kind; blank lines belong to neither; NULL or empty titles, links
+and addresses only leave their features at 0 (pages without a host recur nowhere). Repeated rows are judged alike. Extra columns
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import residue
 from corpusloom.llm.common import map_columns
+from corpusloom.plans.lineage import cut
 
-# The labelled table (fixed values): anchor phrases by kind, and lines of main content.
-NAVIGATION = """home|blog|docs|contact|pricing|services|faq|products|partners|support|press|careers|gallery|about us|locations|sign in|cart #|shop|news|help|login|log in|register|team|jobs|events|menu
-startseite|kontakt|preise|produkte|presse|stellen|galerie|über uns|hilfe|standorte|anmelden|warenkorb #|leistungen|aktuelles|menü
-inicio|contacto|precios|productos|prensa|empleo|galería|quiénes somos|ayuda|tiendas|acceder|cesta #|servicios|noticias|menú"""
-TOP = """skip to main content|jump to content|open menu close menu|open menu|close menu|toggle navigation|search this site|main menu
-zum inhalt springen|navigation umschalten|menü öffnen|suche auf dieser seite|saltar al contenido|abrir menú|buscar en este sitio"""
-CONSENT = """this website stores small files on your device to|we use cookies to|cookies help us to|your privacy matters to us so we ask about cookies to|SITE and its partners use cookies to
-keep the site running|show content you may like|understand how pages are used|remember your choices|measure visits|by browsing on you agree|accept all reject settings|choose accept or manage preferences
-read more in our cookie policy|allow selection allow all|ok got it|wir verwenden cookies um|SITE nutzt cookies um|diese website speichert kleine dateien auf ihrem gerät um|cookies helfen uns|besuche zu zählen|ihre auswahl zu merken
-die seite zu betreiben|mit der nutzung stimmen sie zu|alle annehmen ablehnen|einstellungen ändern|usamos cookies para|SITE utiliza cookies para|este sitio guarda pequeños archivos en su equipo para
-recordar sus preferencias|medir las visitas|que el sitio funcione|al seguir navegando acepta su uso|aceptar todo rechazar|configurar preferencias"""
-LISTS = """related articles|recently viewed|popular this week|latest posts|read next|you may also like|more from SITE|ähnliche beiträge|meistgelesen|das könnte sie auch interessieren|mehr von SITE
-artículos relacionados|lo más leído|también te puede interesar|más de SITE"""
-CALLS = """share mail print copy link|share this page with a friend|tell others about this article|like what you read pass it on|save this page for later|subscribe now leave whenever you like|sign up for our newsletter and never miss an update
-enter your address to receive offers|get the monthly letter from SITE in your inbox|# comments so far|# people found this helpful|viewed # times this week|shared # times|listen to this page # min|install our app for faster checkout
-chat with us now we usually reply in # minutes|need help open the chat window|follow us for daily tips|showing # of # results|download as file print|sort by newest oldest|allow notifications yes later|rate this page #
-your basket is empty|text size a a a|reply report like #|log in to leave a comment|was this page useful yes no|only # left in stock order soon|you have # unread messages|join # readers and get the weekly digest|advertisement|recommended for you
-currency credits language english|filter all new on sale|please rotate your device|teilen mail drucken link kopieren|diese seite teilen|gefällt ihnen der beitrag weitersagen|jetzt den rundbrief bestellen|neues von SITE jeden monat im postfach
-# personen fanden das hilfreich|# mal geteilt|# kommentare bisher|seite anhören # min|war diese seite hilfreich ja nein|zum kommentieren bitte anmelden|ihr warenkorb ist leer|zeige # von # treffern|sortieren nach datum preis|herunterladen drucken
-schriftgröße a a a|nur noch # auf lager jetzt bestellen|anzeige|compartir correo imprimir copiar|comparte esta página|te ha gustado compártelo|suscríbete a nuestro boletín|recibe las novedades de SITE cada mes|# personas lo encontraron útil
-compartido # veces|# comentarios hasta ahora|escuchar esta página # min|le resultó útil sí no|inicie sesión para comentar|su cesta está vacía|mostrando # de # resultados|ordenar por fecha precio|descargar imprimir|tamaño del texto a a a
-quedan # unidades pida pronto|publicidad"""
-PAGERS = """page # of #|# next|previous next|older posts newer posts|back to top|seite # von #|zurück weiter|nach oben|página # de #|anterior siguiente|volver arriba"""
-DATES = """published #|last updated #|page reviewed on #|zuletzt geändert am #|veröffentlicht am #|publicado el #|última actualización #"""
-LEGAL = """SITE # all rights reserved no copying without consent|# SITE all rights reserved|copyright # SITE group|# SITE alle rechte vorbehalten|SITE # alle rechte vorbehalten|# SITE todos los derechos reservados|SITE # todos los derechos reservados
-all prices include tax where it applies errors excepted|nothing on these pages is an offer that binds SITE|images are for illustration only and colours may differ on your screen|names of goods shown here may be marks of their owners
-SITE accepts no liability for the contents of linked pages|the information on this website is provided without guarantee and may change at any time|alle angaben auf dieser website sind ohne gewähr und können sich ändern
-preise enthalten die steuer irrtum vorbehalten|SITE haftet nicht für inhalte verlinkter seiten|la información de este sitio se ofrece sin garantía y puede cambiar|los precios incluyen impuestos salvo error|SITE no responde del contenido de páginas enlazadas
-terms of use|privacy policy|imprint|sitemap|accessibility|cookie settings|shipping and returns|report a problem|impressum|datenschutz|nutzungsbedingungen|barrierefreiheit|seitenübersicht|versand und rückgabe
-aviso legal|política de privacidad|condiciones|accesibilidad|mapa del sitio|envíos y devoluciones"""
-ADVERTS = "advertisement|sponsored|offer of the week|promo|anzeige|publicidad"
-CONTENT = """Summary|Details|Known issues|Before you begin|Who it is for|Good to know|Care and storage|Costs|Planning|Common questions|Feedback|Setup|History|Überblick|Häufige Fragen|Lieferzeit|Kosten|Resumen|Preguntas frecuentes|Costes
-The early referral guide|From grid to carafe|A volunteer and the ferry|How to stack the layered paddock|Getting started with the syllabus|41 ways to design the feeder|Warum der Plan zählt|Neues im Juni aus Bad Fennau|51 Ideen für den Bericht|Novedades de marzo en Alcadiel|Por qué el panel es anual
-By Bruno Lintero|Posted by THEO VELMMAN|Written by Paulo Pennow|Text: Greta T. Hestero|Von Kofi Sallman|Escrito por Amara Fennley|Texto: Hiro Zandesh
-Made for the inspector|Fits the clinic and the smooth bracket|Free lamp check by early evening|Can be stored while stocks last|No scan needed over a long weekend|30,713 hours of flexible panel|Rapid finish, arranged in Mirefield|43 Stück je Wagen|28 unidades del camino|Praktische Hafen mit 83 Teilen|Incluye informe y proyecto|Bericht wird vor dem Frost gereinigt
-Send the signed form to the office by Friday.|The order was filed in May and is still open.|Tags: panel, guide, viewpoint, seedling, hostel|Crema: From Vastry to Quenby the sack is sorted by a small team.|The panel guide – Each order was inspected since the last update.
-Our team keeps forty heavy inverters ready so that records stay complete. The order was cleaned near the entrance without a complaint. Please store the lamp at home, because space is limited.|Some people insulate the frame first and only then transport the quiet array. The support of the press is kept in the shop.
-Nicht jeder Plan ist gleich, also liefert das Büro ihn am Ende des Monats. Der Preis für den Wagen beginnt bei zwei Talern.|A veces el vecino muestra primero el equipo y luego el panel. El precio del molino empieza en seis créditos y lo recibe la sala.
-Can the pannier be stacked twice? Yes, as long as the planner arranges it.|Reach me under the number above after six.|Visit us near the main entrance during the opening hours in May."""
-
-_phrases = lambda table: [p for line in table.split("\n") for p in line.split("|")]
-ANCHORS = {kind: _phrases(t) for kind, t in {
-    "nav": NAVIGATION, "top": TOP, "consent": CONSENT, "list": LISTS, "call": CALLS, "pager": PAGERS, "date": DATES, "legal": LEGAL, "advert": ADVERTS,
-}.items()}
-
-_WORD = re.compile(r"[^\W\d_]+|\d+")
-_CONTACT = re.compile(
-    r"[\w.+\-]+\s?(?:@|\(at\)|\[at\]|\{at\}|\sat\s)\s?[\w\-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?[\w\-]+)+|\+?\(?\d[\d ()./\-]{5,}\d|\b(?:tel|phone|mail|e-mail)\b\.?", re.I
-)
-_CONTACT_SIGN = re.compile(r"@|\d[\d ()./\-]{5,}\d|[(\[{]at[)\]}]|\sdot\s", re.I)
-_SITE = re.compile(r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
-_END = re.compile(r"[.!?…][\"'”’)]*\s*$")
-_CRUMB = re.compile(r"\s[>»›/]\s")
-
-
-def _normal(words: list[str], site: str) -> tuple[str, ...]:
-    out: list[str] = []
-    for w in words:
-        w = "#" if w[0].isdigit() else "SITE" if site and w == site else w
-        if not (w == "#" and out and out[-1] == "#"):
-            out.append(w)
-    return tuple(out)
-
-
-def _table() -> dict[str, list[tuple[tuple[str, ...], str]]]:
-    first: dict[str, list] = {}
-    for kind, phrases in ANCHORS.items():
-        for p in phrases:
-            words = tuple(x if x == "SITE" else x.lower() for x in p.split())
-            first.setdefault(words[0], []).append((words, kind))
-    for options in first.values():
-        options.sort(key=lambda x: -len(x[0]))
-    return first
-
-
-_FIRST = _table()
-_HAS_START = _FIRST.keys()
-
-
-@lru_cache(maxsize=200_000)
-def _cover(words: tuple[str, ...]) -> tuple[float, bool, bool, int]:
-    """``(share of words under anchor phrases, opens with an advert's or navigation phrase, is a list heading, length of the first phrase)``."""
-    covered, i, opening, lead = 0, 0, "", 0
-    n = len(words)
-    heading = False
-    while i < n:
-        step = 0
-        for phrase, kind in _FIRST.get(words[i], ()):
-            if words[i : i + len(phrase)] == phrase:
-                step = len(phrase)
-                if i == 0:
-                    opening, lead = kind, step
-                    heading = kind == "list" and step == n
-                break
-        covered += step
-        i += step or 1
-    return covered / n if n else 0.0, opening in ("advert", "call", "nav"), heading, lead
+MIN_PAGES = 5
+MIN_SHARE = 0.2
+LABELLED = 30_000
+#: Pages whose parts are worked out together.
+GROUP = 128
 
+#: Signs between the parts of a menu, a crumb trail or a labelled line (fixed values).
+SEPARATORS = "| || · » > › • / :: : – —".split()
 
 FEATURES = (
-    "words", "density", "words_before", "density_before", "words_after", "density_after", "from_start", "from_end", "ends_sentence",
-    "is_title", "in_list", "contact", "opens", "crumbs", "slug",
+    "words", "density", "words_before", "density_before", "words_after", "density_after", "ended", "ended_before", "ended_after", "capitals", "parts", "digits", "at_sign",
+    "own_title", "linked", "from_start", "from_end", "share", "share_before", "share_after", "evidence", "hosts", "since_dense", "words_of_dense",
 )
-LONGEST_TITLE = 30  # words; a longer line is a paragraph
-_LEAD = re.compile(r"^\W*[^\W\d_][^:·|]{2,24}?\s*[:·]\s")
-
-
-@lru_cache(maxsize=100_000)
-def _block(bare: str, site: str) -> tuple[int, float, bool, bool, bool, int, int, str]:
-    """What a line is by itself: ``(words, density, ends a sentence, opens with a call, is a list heading, contact, crumbs, slug)``."""
-    found = _WORD.findall(bare.lower())
-    if len(found) <= 40:
-        words = _normal(found, site)
-        density, opens, heading, lead = _cover(words)
-    else:
-        words = found if _HAS_START.isdisjoint(found) else _normal(found, site)
-        density, opens, heading, lead = (0.0, False, False, 0) if words is found else _cover.__wrapped__(words)
-    n = len(words)
-    short = n <= 30
-    contact = 0
-    if short and _CONTACT_SIGN.search(bare):
-        rest = _CONTACT.sub(" ", bare)
-        contact = int(rest != bare and not [w for w in _WORD.findall(rest.lower()) if w != site])
-    return (
-        n, density, bool(_END.search(bare)), bool(opens and (n == lead or _LEAD.match(bare))), heading, contact,
-        int(short and lead > 0 and bool(_CRUMB.search(bare))), "-".join(found) if short and n >= 3 else "",
-    )
-
-
-def line_features(url: str | None, title: str | None, text: str, links: list | None) -> tuple[np.ndarray, list[int]]:
-    """Features of the lines that have anything but blanks, and their numbers."""
-    host = _SITE.match(url or "")
-    labels = host.group(1).lower().split(".") if host else []
-    site = labels[-2] if len(labels) > 1 else ""
-    slugs = tuple({s.rstrip("/").rsplit("/", 1)[-1].rsplit("-", 1)[0][:30] for s in links or () if s and len(s.rstrip("/").rsplit("/", 1)[-1]) > 8})
-    head = re.sub(r"\s+(?:-|–|\||::)\s+\S+$", "", title.strip()).lower() if title else ""
-    rows, numbers = [], []
-    listing = False
-    for number, line in enumerate(text.split("\n")):
-        bare = line.strip()
-        if not bare:
-            continue
-        n, density, ended, opens, heading, contact, crumbs, slug = (_block if len(bare) < 200 else _block.__wrapped__)(bare, site)
-        # A list under its heading goes on, however long, until a line with the form of a sentence, a paragraph or a menu.
-        in_list = listing and not heading and 1 <= n <= LONGEST_TITLE and not ended and density < 0.5
-        listing = heading or in_list
-        linked = bool(slugs) and slug != "" and slug.startswith(slugs)
-        numbers.append(number)
-        rows.append((n, density, 0, 0, 0, 0, len(rows), 0, ended, head != "" and len(bare) == len(head) and bare.lower() == head, in_list, contact, opens, crumbs, linked))
-    x = np.array(rows, np.float32).reshape(len(rows), len(FEATURES))
-    x[1:, 2], x[1:, 3] = x[:-1, 0], x[:-1, 1]
-    x[:-1, 4], x[:-1, 5] = x[1:, 0], x[1:, 1]
-    x[:, 7] = len(rows) - 1 - x[:, 6]
-    return x, numbers
+
+_SITE = re.compile(r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
+_DIGITS = np.array(sorted({residue._IDS[x] for x in [*residue._STATUS, "0", "00", "000", "0000"]}), np.uint64)
+_SEPARATOR_IDS = np.array(sorted(residue._IDS[x] for x in SEPARATORS), np.uint64)
+_AT = np.uint64(residue._IDS["@"])
+_ENDS = np.array(sorted(residue._IDS[x + y] for x in (".", "!", "?", "…", "...", "?!") for y in ("", '"', "”", "’", ")", ".")), np.uint64)
+_SITE_WORD = np.uint64(residue._id("<site>", 1))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LINE = np.uint64(residue._LINE)
+_WORD_SPLIT = re.compile(r"[^\W\d_]+")
+
+
+class _Capitals(dict):
+    """Whether a token begins with a capital, filled as they come up."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > residue._Tokens.limit:
+            self.clear()
+        self[token] = value = int(token[0].isupper())
+        return value
+
+
+_CAPITALS = _Capitals()
+
+
+def host_and_site(url: str | None) -> tuple[str, str]:
+    """The host of an address as ``common.host_of`` reads it, and the label that names the site."""
+    m = _SITE.match(url or "")
+    host = re.sub(r"^www\.", "", m.group(1).lower()) if m else ""
+    labels = host.split(".")
+    return host, labels[-2] if len(labels) > 1 else ""
+
+
+def _sequence(words: list[str]) -> int:
+    """The hash of a sequence of words, as prefixes of lines are hashed."""
+    ids = np.fromiter((residue._IDS[w] for w in words), np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        return int(residue._mix(ids + np.arange(len(ids), dtype=np.uint64) * _STEP).sum(dtype=np.uint64))
+
+
+def _slug(address: str | None) -> tuple[int, int] | None:
+    """Number and hash of the words of an address's last step; the last word is left out, as long slugs are cut inside it."""
+    words = _WORD_SPLIT.findall((address or "").split("?")[0].rstrip("/").rsplit("/", 1)[-1].lower())
+    return (len(words) - 1, _sequence(words[:-1])) if len(words) > 2 else None
+
+
+LINE_TYPE = np.dtype([("words", "<u4"), ("flags", "u1"), ("capitals", "u1"), ("digits", "u1"), ("parts", "u1")])
+PART_TYPE = np.dtype([("line", "<u4"), ("words", "<u4")])
+_FULL, _ENDED, _AT_SIGN, _OWN, _LINKED = 1, 2, 4, 8, 16
+
+
+def described(urls: list, titles: list, tokens: list[tuple[list, list]], links: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of pages with ``(title tokens, text tokens)``: ``(key of each part, PART_TYPE rows, LINE_TYPE rows)``."""
+    sizes = np.array([len(own) + 1 for _, own in tokens])
+    ids = np.empty(int(sizes.sum()), np.uint64)
+    capital = np.zeros(len(ids), np.int64)
+    sites = np.zeros(len(tokens), np.uint64)
+    at = 0
+    for k, (_, own) in enumerate(tokens):
+        ids[at : at + len(own)] = np.fromiter(map(residue._IDS.__getitem__, own), np.uint64, len(own))
+        capital[at : at + len(own)] = np.fromiter(map(_CAPITALS.__getitem__, own), np.int64, len(own))
+        at += len(own) + 1
+        ids[at - 1] = _LINE
+        site = host_and_site(urls[k])[1]
+        sites[k] = residue._IDS[site] if site.isalpha() else 0
+    kind = ids >> np.uint64(62)
+    digit = np.isin(ids, _DIGITS)
+    word = (kind == 1) | (kind == 3)
+    letters = word & ~digit
+    named = np.where(ids == np.repeat(sites, sizes), _SITE_WORD, ids)
+    line_end = ids == _LINE
+    breaks = line_end | (ids == np.uint64(residue._SENTENCE)) | np.isin(ids, _SEPARATOR_IDS)
+
+    def starts(ends: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]) if len(ends) else np.zeros(0, np.int64)
+
+    line_start, part_start = starts(line_end), starts(breaks)
+    line_stop, part_stop = np.flatnonzero(line_end), np.flatnonzero(breaks)
+    count = lambda flags, a, b: np.concatenate([[0], np.cumsum(flags)])[np.stack([a, b])]
+    n_letters = np.cumsum(letters) - letters
+    with np.errstate(over="ignore"):
+
+        def hashed(begin: np.ndarray, stop: np.ndarray, values: np.ndarray) -> np.ndarray:
+            """Each word mixed with its place among the words since ``begin``; 0 elsewhere."""
+            place = n_letters - np.repeat(n_letters[begin], stop - begin + 1)
+            return np.where(letters, residue._mix(values + place.astype(np.uint64) * _STEP), np.uint64(0))
+
+        parts_sum = np.concatenate([[np.uint64(0)], np.cumsum(hashed(part_start, part_stop, named), dtype=np.uint64)])
+        keys = parts_sum[part_stop] - parts_sum[part_start]
+        prefix = np.concatenate([[np.uint64(0)], np.cumsum(hashed(line_start, line_stop, ids), dtype=np.uint64)])
+        a, b = count(word, part_start, part_stop)
+        part_words = b - a
+        part_line = np.searchsorted(line_stop, part_start)
+        a, b = count(word, line_start, line_stop)
+        words = b - a
+        a, b = count(digit, line_start, line_stop)
+        digits = b - a
+        a, b = count(capital, line_start, line_stop)
+        capitals = b - a
+        a, b = count(ids == _AT, line_start, line_stop)
+        signs = b - a
+        full = line_stop > line_start
+        last = ids[np.maximum(line_stop - 1, 0)]
+        ended = full & (np.isin(last, _ENDS) | (last == np.uint64(residue._SENTENCE)))
+        text_words = np.maximum(words - digits, 1)
+        lines = np.zeros(len(line_stop), LINE_TYPE)
+        lines["words"], lines["capitals"], lines["digits"] = words, np.minimum(255, 255 * capitals // text_words), 255 * digits // np.maximum(words, 1)
+        lines["parts"] = np.minimum(255, np.bincount(part_line[part_words > 0], minlength=len(lines)))
+        lines["flags"] = full * _FULL + ended * _ENDED + (signs > 0) * _AT_SIGN
+        rows = np.stack([part_line, part_words], 1)[part_words > 0]
+        keys = keys[part_words > 0]
+        page_lines = np.searchsorted(line_stop, np.concatenate([[0], np.cumsum(sizes)]))
+        page_parts = np.searchsorted(rows[:, 0], page_lines)
+        letters_before = np.concatenate([n_letters, [0]])
+        places = np.flatnonzero(letters)
+        out = []
+        for k, (head, _) in enumerate(tokens):
+            first, stop = page_lines[k], page_lines[k + 1]
+            own = lines[first:stop]
+            begin = line_start[first:stop]
+            marks = {_OWN: {_slug(urls[k])}, _LINKED: {_slug(x) for x in links[k] or ()}}
+            title = [t.lower() for t in (head[: head.index("\n")] if "\n" in head else head) if t[0].isalpha()]
+            if title:
+                marks[_OWN].add((len(title), _sequence(title)))
+            for flag, wanted in marks.items():
+                for n in {w[0] for w in wanted if w}:
+                    # The hash of the first n words of every line that has so many.
+                    before = letters_before[begin]
+                    long = np.flatnonzero(letters_before[line_stop[first:stop]] - before >= n)
+                    end = places[before[long] + n - 1] + 1
+                    same = np.isin(prefix[end] - prefix[begin[long]], np.array([w[1] for w in wanted if w and w[0] == n], np.uint64))
+                    own["flags"][long[same]] |= flag
+            parts = np.zeros(page_parts[k + 1] - page_parts[k], PART_TYPE)
+            parts["line"], parts["words"] = (rows[page_parts[k] : page_parts[k + 1]] - [[first, 0]]).T
+            out.append((keys[page_parts[k] : page_parts[k + 1]].view(np.int64), parts, own))
+    return out
+
+
+def features(keys: np.ndarray, parts: np.ndarray, lines: np.ndarray, known: dict[int, tuple[float, float, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the lines that have anything but blanks, and their numbers. ``known`` gives of a part that recurs somewhere:
+    its share of the host's pages (at least ``MIN_SHARE`` where it recurs there), its evidence and its number of hosts."""
+    number = np.flatnonzero(lines["flags"] & _FULL)
+    n = len(number)
+    x = np.zeros((n, len(FEATURES)), np.float32)
+    if not n:
+        return x, number
+    c = {name: k for k, name in enumerate(FEATURES)}
+    own = lines[number]
+    x[:, c["words"]] = own["words"]
+    for name, flag in (("ended", _ENDED), ("at_sign", _AT_SIGN), ("own_title", _OWN), ("linked", _LINKED)):
+        x[:, c[name]] = (own["flags"] & flag) > 0
+    x[:, c["capitals"]], x[:, c["digits"]], x[:, c["parts"]] = own["capitals"] / 255, own["digits"] / 255, own["parts"]
+    x[:, c["from_start"]], x[:, c["from_end"]] = np.arange(n), n - 1 - np.arange(n)
+    if len(known):
+        facts = np.array([known.get(k, (0.0, 0.0, 0, False)) for k in keys.tolist()], np.float64).reshape(len(keys), 4)
+        weight = parts["words"].astype(np.float64)
+        place = np.searchsorted(number, parts["line"])
+        total = np.maximum(np.bincount(place, weight, n), 1)
+        anchor = (facts[:, 3] > 0) | (facts[:, 1] >= 0.5)
+        for name, values in (("density", anchor), ("share", facts[:, 0]), ("evidence", facts[:, 1]), ("hosts", np.minimum(facts[:, 2], 20))):
+            x[:, c[name]] = np.bincount(place, weight * values, n) / total
+    since, of = 20, 0.0
+    words, dense, ended = x[:, c["words"]].tolist(), (x[:, c["density"]] >= 0.5).tolist(), x[:, c["ended"]].tolist()
+    for k in range(n):
+        x[k, c["since_dense"]], x[k, c["words_of_dense"]] = since, of
+        if dense[k]:
+            since, of = 0, words[k]
+        elif ended[k]:
+            since = 20
+        else:
+            since = min(20, since + 1)
+    for name in ("words", "density", "ended", "share"):
+        x[1:, c[f"{name}_before"]] = x[:-1, c[name]]
+        x[:-1, c[f"{name}_after"]] = x[1:, c[name]]
+    return x, number
 
 
 class Tree:
     """A binary decision tree grown by Gini impurity; leaves hold the share of frame lines."""
 
-    def __init__(self, depth: int = 9, least: int = 3):
+    def __init__(self, depth: int = 9, least: int = 5):
         self.depth, self.least = depth, least
         self.nodes: list[tuple[int, float, int, int, float]] = []
 
@@ -227,120 +272,105 @@ class Tree:
             node = np.where(inner, np.where(go, low[node], high[node]), node)
 
 
-def labelled_pages(n: int = 600, seed: int = 11):
-    """``(url, title, text, links, labels)``: the labelled lines set into pages by a seeded rule."""
-    rnd = random.Random(seed)
-    content = _phrases(CONTENT)
-    headings, titles, bylines = content[:20], content[20:31], content[31:38]
-    items, notes, paragraphs = content[38:50], content[50:55], content[55:]
-    pick = lambda kind: rnd.choice(ANCHORS[kind]).replace("SITE", "quenmarto").replace("#", str(rnd.randint(1, 40_000)))
-    nav = [p for p in ANCHORS["nav"]]
-    legal_links = ANCHORS["legal"][-20:]
-    sep = lambda: rnd.choice([" ", " | ", " · ", " / ", "   "])
-
-    def menu(table: list, least: int, most: int) -> str:
-        return sep().join(rnd.sample(table, rnd.randint(least, most))).replace("#", "(0)")
-
-    for _ in range(n):
-        lines: list[tuple[str, bool]] = []
-        frame = lambda text: lines.append((rnd.choice(["", "", "", "• "]) + (text.upper() if rnd.random() < 0.1 else text.capitalize()) + rnd.choice(["", "", "", ".", " …", "!", " »"]), True))
-        main = lambda text: lines.append((text, False))
-        title = rnd.choice(titles)
-        if rnd.random() < 0.5:
-            frame(pick("top"))
-        for _ in range(rnd.choice([0, 1, 1, 2, 6])):
-            frame(menu(nav, 1, 6) if rnd.random() < 0.7 else rnd.choice(nav).replace("#", "(0)"))
-        if rnd.random() < 0.3:
-            frame(f"{pick('consent')} {pick('consent')} {pick('consent')}")
-        if rnd.random() < 0.4:
-            frame(rnd.choice([" > ", " / ", " » "]).join([rnd.choice(("home", "startseite", "inicio")), *rnd.sample([x for x in nav if "#" not in x], rnd.randint(0, 1)), title]))
-        if rnd.random() < 0.85:
-            main(title)
-        if rnd.random() < 0.4:
-            main(rnd.choice(bylines))
-        for _ in range(rnd.randint(1, 7)):
-            r = rnd.random()
-            if r < 0.2:
-                main(rnd.choice(headings if rnd.random() < 0.6 else titles))
-            if r > 0.85:
-                for _ in range(rnd.randint(1, 4)):
-                    main(rnd.choice(items))
-            if 0.3 < r < 0.4:
-                main(rnd.choice(notes))
-            main(" ".join(rnd.sample(paragraphs, rnd.randint(1, 3))))
-            if rnd.random() < 0.25:
-                frame(pick("call"))
-            if rnd.random() < 0.06:
-                lines.append((f"{rnd.choice(ANCHORS['advert']).capitalize()}{rnd.choice([': ', ' · '])}{rnd.choice(paragraphs)}", True))
-            if rnd.random() < 0.08:
-                frame(pick("list"))
-                for _ in range(rnd.randint(1, 4)):
-                    lines.append((rnd.choice(titles), True))
-                if rnd.random() < 0.5:
-                    main(rnd.choice(paragraphs))
-        for kind, chance in (("call", 0.6), ("list", 0.3), ("pager", 0.4), ("date", 0.5), ("legal", 0.5), ("legal", 0.5)):
-            if rnd.random() < chance:
-                frame(pick(kind))
-                if kind == "list":
-                    for _ in range(rnd.randint(2, 4)):
-                        lines.append((rnd.choice(titles), True))
-        if rnd.random() < 0.6:
-            frame(menu(legal_links, 3, 5))
-        if rnd.random() < 0.3:
-            lines.append((rnd.choice(["Tel. +44 7700 900428", "ann.lee@quenmarto.example | 030/23125418", "Quenmarto: ann.lee@quenmarto.example", "Quenmarto: ann [at] quenmarto [dot] example", "07700 900 172"]), True))
-        yield "https://www.quenmarto.example/blog/x-1", title, "\n".join(x for x, _ in lines), None, [y for _, y in lines]
-
-
 @lru_cache(maxsize=1)
 def trained_tree() -> Tree:
-    xs, ys = [], []
-    for url, title, text, links, labels in labelled_pages():
-        x, numbers = line_features(url, title, text, links)
-        xs.append(x)
-        ys.append(np.array(labels)[numbers])
-    return Tree().grow(np.concatenate(xs), np.concatenate(ys))
+    """The tree of the labelled table."""
+    with np.load(Path(__file__).with_name("frame_lines.npz")) as table:
+        return Tree().grow(table["x"].astype(np.float32), table["y"])
 
 
-def frame_lines(pages: DataFrame, skip=None) -> DataFrame:
-    """``page_id, line_no`` of the frame lines of pages with ``page_id, url, title, text, links``.
+_BLOCKS = "page_id bigint, host bigint, keys array<bigint>, parts binary, lines binary"
+
 
-    ``skip(titles, texts)`` says of the pages of a batch which are left out before their lines are looked at.
+def blocks(pages: DataFrame, skip=None) -> DataFrame:
+    """One row for each page: its host's hash (NULL where it has none), the keys of its parts, and the parts and lines packed.
+
+    ``skip(tokens, texts, links)`` says of the pages of a group which are left out before their lines are looked at.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(trained_tree())
 
-    def run(ids: list, urls: list, titles: list, texts: list, links: list) -> dict[str, list]:
-        xs, owners, numbers = [], [], []
-        out = skip(titles, texts) if skip is not None else [False] * len(ids)
-        for i, url, title, text, own, left_out in zip(ids, urls, titles, texts, links, out):
-            if left_out:
-                continue
-            x, lines = line_features(url, title, text, own)
-            if len(lines):
-                xs.append(x)
-                owners += [i] * len(lines)
-                numbers += lines
-        if not xs:
-            return {"page_id": [], "line_no": []}
-        hit = shared.value.predict(np.concatenate(xs)) > 0.5
-        return {"page_id": np.array(owners)[hit], "line_no": np.array(numbers, np.int32)[hit]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, GROUP):
+                ids, urls, titles, texts, links = (c.to_pylist() for c in batch.slice(begin, GROUP).columns)
+                tokens = [residue.page_tokens(t, x) for t, x in zip(titles, texts)]
+                kept = range(len(ids)) if skip is None else np.flatnonzero(~np.asarray(skip(tokens, texts, links), bool)).tolist()
+                pick = lambda column: [column[k] for k in kept]
+                if not len(kept):
+                    continue
+                found = described(pick(urls), pick(titles), pick(tokens), pick(links))
+                hosts = [host_and_site(u)[0] for u in pick(urls)]
+                hashes = [residue.xxhash.xxh3_64_intdigest(h) - (1 << 63) if h else None for h in hosts]
+                offsets = np.concatenate([[0], np.cumsum([len(k) for k, _, _ in found])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(pick(ids), pa.int64()),
+                        pa.array(hashes, pa.int64()),
+                        pa.ListArray.from_arrays(offsets, np.concatenate([k for k, _, _ in found])),
+                        pa.array([p.tobytes() for _, p, _ in found], pa.binary()),
+                        pa.array([x.tobytes() for _, _, x in found], pa.binary()),
+                    ],
+                    names=["page_id", "host", "keys", "parts", "lines"],
+                )
 
     source = pages.select("page_id", "url", "title", "text", "links").where("text is not null and text != ''")
-    return map_columns(source, run, "page_id bigint, line_no int")
+    return source.mapInArrow(run, _BLOCKS).withColumn("row", F.monotonically_increasing_id())
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """``page_id, main_text``: each page's own lines, in order; empty where there are none, NULL for a NULL text."""
+def recurring(rows: DataFrame) -> DataFrame:
+    """``host, key, share, evidence, hosts, here`` of the parts that recur on some host, on every host that has them.
+
+    ``evidence`` is the share of the pages with the part that are pages of hosts where it recurs; ``here`` says whether this one is.
+    """
+    placed = rows.select("host", F.explode(F.array_distinct("keys")).alias("key")).where("host is not null and key != 0")
+    counts = placed.groupBy("host", "key").agg(F.count("*").alias("pages"))
+    sizes = rows.where("host is not null").groupBy("host").agg(F.count("*").alias("host_pages"))
+    share = F.col("pages") / F.col("host_pages")
+    seen = counts.join(sizes, "host").select("host", "key", "pages", share.alias("share"), ((F.col("pages") >= MIN_PAGES) & (share >= MIN_SHARE)).alias("here"))
+    anywhere = seen.where("here").select("key").distinct()
+    used = cut(seen.join(anywhere, "key", "left_semi"))
+    by_key = used.groupBy("key").agg((F.sum(F.when(F.col("here"), F.col("pages")).otherwise(0)) / F.sum("pages")).alias("evidence"), F.count("*").alias("hosts"))
+    return used.join(by_key, "key").select("host", "key", "share", "evidence", "hosts", "here")
+
+
+def with_evidence(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``known``: what is known of the page's parts that recur somewhere. Only these travel by page."""
+    placed = rows.select("row", "host", F.explode(F.array_distinct("keys")).alias("key")).where("host is not null and key != 0")
+    facts = placed.join(recurring(rows), ["host", "key"]).groupBy("row").agg(F.collect_list(F.struct("key", "share", "evidence", "hosts", "here")).alias("known"))
+    return rows.join(facts, "row", "left")
+
+
+def page_features(rows: DataFrame, finish, schema: str) -> DataFrame:
+    """``finish(page_ids, [(features, line numbers)])`` over the pages of ``with_evidence``; it returns columns by name."""
+
+    def run(ids: list, keys: list, parts: list, lines: list, known: list) -> dict[str, list]:
+        found = []
+        for own, p, x, facts in zip(keys, parts, lines, known):
+            table = {f["key"]: (f["share"], f["evidence"], f["hosts"], f["here"]) for f in facts or ()}
+            found.append(features(np.array(own, np.int64), np.frombuffer(p, PART_TYPE), np.frombuffer(x, LINE_TYPE), table))
+        return finish(ids, found)
+
+    return map_columns(rows.select("page_id", "keys", "parts", "lines", "known"), run, schema)
+
+
+def frame_lines(pages: DataFrame, skip=None) -> DataFrame:
+    """``page_id, line_no`` of the frame lines of pages with ``page_id, url, title, text, links``; see ``blocks`` for ``skip``."""
     shared = pages.sparkSession.sparkContext.broadcast(trained_tree())
 
-    def run(ids: list, urls: list, titles: list, texts: list, links: list) -> dict[str, list]:
-        out = []
-        for url, title, text, own in zip(urls, titles, texts, links):
-            if text is None:
-                out.append(None)
-                continue
-            x, numbers = line_features(url, title, text, own)
-            lines = text.split("\n")
-            out.append("\n".join(lines[n] for n, p in zip(numbers, shared.value.predict(x) if len(numbers) else ()) if p <= 0.5))
-        return {"page_id": ids, "main_text": out}
-
-    return map_columns(pages.select("page_id", "url", "title", "text", "links"), run, "page_id bigint, main_text string")
+    def finish(ids: list, found: list) -> dict[str, list]:
+        x = np.concatenate([x for x, _ in found])
+        hit = shared.value.predict(x) > 0.5
+        return {"page_id": np.repeat(np.array(ids, np.int64), [len(n) for _, n in found])[hit], "line_no": np.concatenate([n for _, n in found]).astype(np.int32)[hit]}
+
+    return page_features(with_evidence(cut(blocks(pages, skip))), finish, "page_id bigint, line_no int")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """``page_id, main_text``: each page's own lines, in order; empty where there are none, NULL for a NULL text.
+
+    Page ids must be unique. Blank lines are left out. Only line numbers travel to the page; its text is moved once, by its id.
+    """
+    drop = frame_lines(pages).groupBy("page_id").agg(F.collect_set("line_no").alias("drop_lines"))
+    joined = pages.select("page_id", "text").join(drop, "page_id", "left")
+    dropped = F.coalesce("drop_lines", F.array().cast("array<int>"))
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(dropped, i) & line.rlike(r"[^\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]"))
+    return joined.select("page_id", F.array_join(kept, "\n").alias("main_text"))

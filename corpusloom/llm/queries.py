@@ -28,13 +28,13 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Frame lines of the pages that are cases of neither problem 2 nor problem 5, in one pass over the pages."""
+    """Frame lines of the pages that are cases of neither problem 2 nor problem 5, which are judged on the way."""
     pages = _pages(spark, d, "page_id", "url", "title", "text", "links")
-    weights = spark.sparkContext.broadcast(residue.fit(pages))
+    weights = spark.sparkContext.broadcast(residue.weights())
 
-    def excluded(titles: list, texts: list) -> list[bool]:
-        scores = residue.page_scores(weights.value, titles, texts)
-        return [s > residue.ABOVE or keyword_pages.is_keyword_page(t) for s, t in zip(scores, texts)]
+    def excluded(tokens: list, texts: list, links: list) -> list[bool]:
+        scores = residue.token_scores(weights.value, tokens)
+        return [s > residue.ABOVE or keyword_pages.is_keyword_page(t, own) for s, t, own in zip(scores, texts, links)]
 
     return boilerplate.frame_lines(pages, excluded)
 
@@ -45,7 +45,7 @@ def p1_main(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_pages(_pages(spark, d, "page_id", "url", "title", "text")).select("page_id")
+    return residue.residue_pages(_pages(spark, d, "page_id", "title", "text")).select("page_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _personal(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Distinct values of every item; a chunk delivered twice is one item."""
-    return pii.personal_items(_personal(spark, d)).distinct()
+    return pii.personal_items(_personal(spark, d))
 
 
 def p4_masked(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +74,7 @@ def p4_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return keyword_pages.keyword_pages(_pages(spark, d, "page_id", "text")).select("page_id")
+    return keyword_pages.keyword_pages(_pages(spark, d, "page_id", "text", "links")).select("page_id")
 
 
 P6 = {"shingle": 3, "similarity": 0.7, "min_tokens": 50}

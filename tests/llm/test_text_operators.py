@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm import boilerplate, keyword_pages, mixing, near_duplicates, packing, pii, repeated_lines, residue, splitting, text_quality
+from corpusloom.llm import boilerplate, keyword_pages, mixing, near_duplicates, packing, pii, repeated_lines, residue, residue_train, splitting, text_quality
 from corpusloom.llm.tokenizing import encoding, vocabulary_path
 
 WORDS = "the order plan panel of and kettle is stored garden when frost it lamp report small team in quiet".split()
@@ -195,6 +195,9 @@ def test_keyword_pages_of_few_words():
     links = "\n".join(f"https://a.example/{i}" for i in range(30))
     keys = "lamp | garden lamp | kettle | panel | quiet lamp | frost | report | lamp 12 | team | order"
     repeated = "quiet lamp cheap quiet lamp best quiet lamp garden lamp quiet lamp buy quiet lamp"
+    many = [f"https://a.example/{i}" for i in range(500)]
+    assert keyword_pages.is_keyword_page("Link list here", many)
+    assert not any(keyword_pages.is_keyword_page(t, own) for t, own in (("404 Not found", many[:20]), (None, many), ("", many), ("Link list here", many[:1] * 500), ("Link list here", [None])))
     calm = ["#{subtitle}\nBy ${author.name}\nPrice: {{company}} %PAGE_TITLE%\n%%SLOGAN%%.\nName: <%= product_name %>", "Home | Blog | Contact\nThe lamp guide", "The lamp is stored in the garden.", "404 Not found"]
     assert all(map(keyword_pages.is_keyword_page, (links, keys, repeated)))
     assert not any(map(keyword_pages.is_keyword_page, calm))
@@ -205,8 +208,7 @@ def test_keyword_pages_of_few_words():
 
 @pytest.fixture(scope="module")
 def weights():
-    rnd = random.Random(5)
-    return residue.train([(f"Page {i}", prose(rnd, 12)) for i in range(200)])
+    return residue.weights()
 
 
 def test_residue_spots_and_quotes(weights):
@@ -223,6 +225,15 @@ def test_residue_spots_and_quotes(weights):
         assert len(residue.scores(weights, title, text)) == len(residue.spots(title, text))
 
 
+def test_residue_of_unseen_wording_and_calm_pages(weights):
+    calm = "The village lies on a low hill above the river. Its oldest house dates from 1640. Every spring the orchards bloom."
+    cases = ["Error establishing a database connection", "An error occurred while loading this page.", "Sorry, this page could not be displayed.", "Hello {{user}}", "Please switch on JavaScript to see this site.", "The page cannot be found", "Your text here", "This site is undergoing maintenance", "Call to undefined function in /var/www/x.php on line 9"]
+    plain = ["Visitors reach the tower by 404 steps.", "JavaScript is a language of the web. We teach it on Mondays.", "The museum was under construction for ten years.", "The server of the inn is friendly.", "The bus 502 leaves at nine."]
+    assert all(residue.is_residue(weights, None, x) and residue.is_residue(weights, "A village", f"{calm}\n{x}\n{calm}") for x in cases)
+    assert not any(residue.is_residue(weights, None, x) or residue.is_residue(weights, "A village", f"{calm}\n{x}\n{calm}") for x in plain)
+    assert not any(residue.is_residue(weights, t, calm) for t in ("A village", "Weekly plans", "Our gardens in spring"))
+
+
 def test_residue_pages_and_unseen_hosts(spark):
     rnd = random.Random(7)
     rows = []
@@ -232,10 +243,10 @@ def test_residue_pages_and_unseen_hosts(spark):
         rows.append((i, f"https://h{i % 29}.example/{i}", None if i % 3 else "Home", text, "x"))
     rows += [(900, None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, title string, text string, score string")
-    fitted = residue.fit(df)
+    fitted = residue_train.fit(df)
     got = {r["page_id"] for r in residue.residue_pages(df, fitted).collect()}
     assert got == set(range(0, 300, 10))
-    measured = residue.validate(df)
+    measured = residue_train.validate(df)
     assert measured["cases"] > 0 and measured["precision"] == measured["recall"] == 1
     assert residue.residue_pages(df.limit(0)).count() == 0
 
@@ -243,41 +254,77 @@ def test_residue_pages_and_unseen_hosts(spark):
 # ---- frame lines
 
 
-def test_frame_lines(spark):
-    rnd = random.Random(8)
-    text = "\n".join(
-        ["Skip to main content", "Home | Blog | Contact", "Home > Blog > The lamp guide", "The lamp guide", "By Ann Lee", prose(rnd, 3), "Related articles", "From grid to lamp", prose(rnd, 2), "Made for the inspector", "",
-         "Share: Mail Print Copy link", "Published 3/4/2024", "© 2024 Acme. All rights reserved.", "Acme: ann@acme.example"]
-    )
-    rows = [(1, "https://www.acme.example/blog/x", "The lamp guide", text, None, "x"), (2, None, None, text, ["https://a.example/x", None], "x"), (3, None, None, None, None, "x"), (4, "u", "t", "", [], "x")]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, title string, text string, links array<string>, line_no string")
-    got = {tuple(r) for r in boilerplate.frame_lines(df).collect()}
-    assert {n for i, n in got if i == 1} == {0, 1, 2, 6, 7, 11, 12, 13, 14}
-    assert {n for i, n in got if i == 2} >= {0, 1, 2, 6, 7, 11, 12}
-    main = {r["page_id"]: r["main_text"] for r in boilerplate.main_text(df).collect()}
-    assert main[1].startswith("The lamp guide\nBy Ann Lee\n") and main[3] is None and main[4] == ""
-    assert boilerplate.frame_lines(df.limit(0)).count() == 0
+SYLLABLES = "ba zu ke lor min tav qui dro fex hul jor pim wen cas tol".split()
+
+
+def unseen_site(seed: int, pages: int, host: str = "www.unseen.example"):
+    """Pages of a site whose frame is made of invented words, ``(id, url, title, text, links)``, and the frame lines of each."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice(SYLLABLES) for _ in range(rnd.randint(1, 3)))
+    phrase = lambda n: " ".join(word() for _ in range(n)).capitalize()
+    menu = [" ".join(word().capitalize() for _ in range(6)), phrase(3), " | ".join(word().capitalize() for _ in range(4))]
+    related, foot = phrase(2), [phrase(9) + ".", "© 2024 Unseen " + phrase(3), " · ".join(phrase(2) for _ in range(4))]
+    titles = [f"{phrase(4)}" for _ in range(pages)]
+    rows, frames = [], set()
+    for i in range(pages):
+        own = [titles[i], *(f"{prose(rnd, 4)} {phrase(9)}." for _ in range(4))]
+        others = rnd.sample(titles, 3)
+        lines = [*menu, *own, related, *others, *foot]
+        rows.append((i, f"https://{host}/{i}/{'-'.join(titles[i].lower().split())}-{i}", titles[i], "\n".join(lines), [f"https://{host}/x/{'-'.join(t.lower().split())}-1" for t in others]))
+        frames |= {(i, n) for n in range(len(lines)) if not len(menu) <= n < len(menu) + len(own)}
+    return rows, frames
 
 
-def test_a_list_of_other_pages_has_no_greatest_length():
-    rnd = random.Random(14)
-    titles = [f"{a} {b} for the {c}" for a, b, c in zip(["Narrow", "Heavy", "Quiet", "Robust"] * 4, ["lamps", "panels", "kettles"] * 6, ["garden", "team", "order", "frost", "report"] * 4)]
-    page = lambda: "\n".join(["The lamp guide", prose(rnd, 3), "Related articles", *titles, prose(rnd, 2), "Made for the inspector", prose(rnd, 3)])
-    x, numbers = boilerplate.line_features("https://www.acme.example/blog/x", "The lamp guide", page(), None)
-    frame = {n for n, p in zip(numbers, boilerplate.trained_tree().predict(x)) if p > 0.5}
-    assert frame == set(range(2, 3 + len(titles)))
-    titles[4], titles[6] = "Quiet lamps", "Why a quiet team that stored the lamp in the frost of the garden wrote a long report on it"
-    x, numbers = boilerplate.line_features("https://www.acme.example/blog/x", "The lamp guide", page(), None)
-    assert [n for n, row in zip(numbers, x) if row[boilerplate.FEATURES.index("in_list")]] == list(range(3, 3 + len(titles)))
-
-
-def test_tree_on_held_out_labelled_pages():
-    tree, wrong, total = boilerplate.trained_tree(), 0, 0
-    for url, title, text, links, labels in boilerplate.labelled_pages(100, seed=77):
-        x, numbers = boilerplate.line_features(url, title, text, links)
-        want = np.array(labels)[numbers]
-        wrong, total = wrong + int(((tree.predict(x) > 0.5) != want).sum()), total + len(want)
-    assert wrong / total < 0.02
+PAGE_TYPE = "page_id bigint, url string, title string, text string, links array<string>"
+
+
+def test_frame_lines_of_a_site_whose_words_are_in_no_table(spark):
+    rows, frames = unseen_site(3, 40)
+    found = {tuple(r) for r in boilerplate.frame_lines(spark.createDataFrame(rows, PAGE_TYPE)).collect()}
+    assert len(found & frames) > 0.95 * len(frames) and len(found & frames) > 0.95 * len(found)
+
+
+def test_frame_lines_of_odd_rows(spark):
+    rows, _ = unseen_site(4, 60)
+    text = rows[0][3]
+    odd = [(100, None, None, text, ["https://a.example/x", None]), (101, None, None, None, None), (102, "u", "t", "", []), (103, "https://b.example/", " ", "\n \n", None), rows[0]]
+    df = spark.createDataFrame([(*r, "x") for r in rows + odd], PAGE_TYPE + ", line_no string")
+    found = [tuple(r) for r in boilerplate.frame_lines(df).collect()]
+    assert {i for i, _ in found} <= {*range(60), 100}
+    zero = [n for i, n in found if i == 0]
+    assert sorted(zero) == sorted([*set(zero)] * 2)  # both rows of page 0 are judged alike
+    assert boilerplate.frame_lines(df.limit(0)).count() == 0
+    one = df.where("page_id != 0")
+    main = {r["page_id"]: r["main_text"] for r in boilerplate.main_text(one).collect()}
+    own = "\n".join(rows[5][3].split("\n")[3:8])
+    assert main[5] == own and main[101] is None and main[102] == "" and main[103] == ""
+
+
+def test_parts_of_lines_and_slugs():
+    urls, titles = ["https://www.Acme.example:80/blog/the-lamp-guide-of-acme-12"], ["The lamp guide - Acme"]
+    text = "Home | Blog: Acme\n\nThe lamp guide of Acme\n10 lamps for acme. From grid to lamp\nthe lamp GUIDE\n"
+    keys, parts, lines = boilerplate.described(urls, titles, [residue.page_tokens(titles[0], text)], [["https://x.example/home-blog-acme"]])[0]
+    assert parts["line"].tolist() == [0, 0, 0, 2, 3, 3, 4] and parts["words"].tolist() == [1, 1, 1, 5, 4, 4, 3]
+    flag = lambda bit: [n for n, x in enumerate(lines["flags"]) if x & bit]
+    assert flag(boilerplate._FULL) == [0, 2, 3, 4] and flag(boilerplate._OWN) == [2, 4] and flag(boilerplate._LINKED) == [0] and len(lines) == 6
+    again = boilerplate.described(urls, [None], [residue.page_tokens(None, "BLOG\n12 Lamps for Acme!")], [None])[0][0]
+    assert again[0] == keys[1] and again[1] == keys[4]
+
+
+def test_density_counts_parts_that_recur():
+    text = "Menu one | Menu two\nA calm line"
+    keys, parts, lines = boilerplate.described([None], [None], [residue.page_tokens(None, text)], [None])[0]
+    x, numbers = boilerplate.features(keys, parts, lines, {int(keys[0]): (0.5, 1.0, 3, True)})
+    assert numbers.tolist() == [0, 1] and x[0, boilerplate.FEATURES.index("density")] == 0.5 and x[1, boilerplate.FEATURES.index("density_before")] == 0.5
+
+
+def test_tree_on_rows_it_was_not_grown_on():
+    with np.load(boilerplate.Path(boilerplate.__file__).with_name("frame_lines.npz")) as table:
+        x, y = table["x"].astype(np.float32), table["y"]
+    assert len(y) <= boilerplate.LABELLED
+    half = np.arange(len(y)) % 2 == 0
+    got = boilerplate.Tree().grow(x[half], y[half]).predict(x[~half]) > 0.5
+    assert (got == y[~half]).mean() > 0.97
 
 
 # ---- personal information
