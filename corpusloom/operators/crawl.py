@@ -16,6 +16,7 @@ from corpusloom.sources.snapshot import INDEX_CHILDREN, SITEMAP_CANDIDATES, SITE
 
 #: Paths that sites often have (fixed values).
 COMMON_PATHS = "/about /about-us /contact /pricing /services /products /blog /docs".split()
+AFTER_SEEDS = 1 << 40
 QUEUE_FACTOR, SITEMAP_SEEDS, SITEMAP_SEED_FACTOR = 20, 200, 4
 
 
@@ -24,15 +25,16 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
 
     The frontier of a round is what the last one reached for the first time; all seeds advance together.
     """
-    visited = cut(seeds.select("url", F.lit(0).alias("depth")).distinct())
-    frontier = visited
-    links = edges.select("src", "dst").distinct()
+    frontier = cut(seeds.select("url", F.lit(0).alias("depth")).distinct())
+    # Each round writes its own frontier only; what was visited is the union of the rounds, of which there are few.
+    visited = frontier
+    links = cut(edges.select("src", "dst").distinct()) if max_depth > 1 else edges.select("src", "dst").distinct()
     for depth in range(1, max_depth + 1):
         found = frontier.join(links, frontier["url"] == links["src"]).select(F.col("dst").alias("url")).distinct()
         frontier = cut(found.join(visited, "url", "left_anti").select("url", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
-        visited = cut(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
     return visited
 
 
@@ -40,7 +42,16 @@ def discover_sitemaps(snapshot: DataFrame, seed: str, most: int = SITEMAP_STOP)
     """Addresses of the seed's site from its sitemaps; the number of files and addresses read is bounded."""
     site = origin_of(seed)
     texts = fetched(snapshot, "text").withColumn("key", canonical_url("url"))
-    body = lambda key: texts.where(F.col("key") == key).select("body").first()
+    files: dict[str, tuple | None] = {}
+
+    def fetch(addresses: list[str]) -> None:
+        """Read the files of one level, few by the bounds on candidates and children, in one scan."""
+        wanted = [k for k in dict.fromkeys(map(canonical, addresses)) if k and k not in files]
+        files.update(dict.fromkeys(wanted))
+        if wanted:
+            parts = texts.where(F.col("key").isin(wanted)).select("key", sitemap_locs(F.col("body")).alias("locs"), is_sitemap_index(F.col("body")).alias("index"))
+            files.update({r["key"]: (r["locs"], r["index"]) for r in parts.collect()})
+
     candidates = [f"{site}/sitemap.xml", f"{site}/sitemap_index.xml"]
     robots = texts.where(F.col("key") == f"{site}/robots.txt").select(F.explode(robots_sitemaps(F.col("body"))).alias("u")).limit(SITEMAP_CANDIDATES).collect()
     for row in robots:
@@ -54,21 +65,23 @@ def discover_sitemaps(snapshot: DataFrame, seed: str, most: int = SITEMAP_STOP)
         if key is None or key in seen:
             return
         seen.add(key)
-        row = body(key)
-        if row is None:
+        fetch([address])
+        if files[key] is None:
             return
-        one = texts.sparkSession.createDataFrame([row], "body string").select(sitemap_locs(F.col("body")).alias("locs"), is_sitemap_index(F.col("body")).alias("index")).first()
-        if one["index"]:
-            for child in one["locs"][:INDEX_CHILDREN]:
+        locs, is_index = files[key]
+        if is_index:
+            fetch(locs[:INDEX_CHILDREN])
+            for child in locs[:INDEX_CHILDREN]:
                 read(child)
             return
-        for loc in one["locs"]:
+        for loc in locs:
             page = canonical(loc)
             if page and origin_of(page) == site:
                 urls[page] = None
             if len(urls) >= SITEMAP_FILE_STOP:
                 break
 
+    fetch(candidates)
     for candidate in candidates:
         read(candidate)
         if len(urls) >= most:
@@ -81,11 +94,11 @@ def origin_of(url: str) -> str:
 
 
 def seed_frontier(spark: SparkSession, seed: str, max_pages: int, sitemap: list[str] = ()) -> DataFrame:
-    """``url, depth, ord``: the seed, common paths and the first addresses of its sitemaps."""
+    """``url, depth, ord``: the seed, common paths and the first addresses of its sitemaps; ``ord`` is a path of places."""
     site = origin_of(seed)
     extra = list(sitemap)[: min(SITEMAP_SEEDS, SITEMAP_SEED_FACTOR * max_pages)]
     rows = [(seed, 0)] + [(site + p, 1) for p in COMMON_PATHS] + [(u, 1) for u in extra]
-    return spark.createDataFrame([(u, d, i) for i, (u, d) in enumerate(rows)], "url string, depth int, ord bigint")
+    return spark.createDataFrame([(u, d, [i]) for i, (u, d) in enumerate(rows)], "url string, depth int, ord array<bigint>")
 
 
 def crawl(snapshot: DataFrame, seed: str, max_depth: int = 3, max_pages: int = 100, use_sitemaps: bool = True) -> DataFrame:
@@ -121,8 +134,17 @@ def crawl(snapshot: DataFrame, seed: str, max_depth: int = 3, max_pages: int = 1
             break
         if depth < max_depth:
             out = found.select("ord", F.posexplode("links").alias("pos", "url")).where(~administrative(F.col("url")))
-            order = Window.orderBy("ord", "pos")
-            base = (depth + 2) * 1_000_000_000
-            following = out.select("url", F.lit(depth + 1).alias("depth"), (F.row_number().over(order) + base).cast("bigint").alias("ord"))
+            # What is found goes after the seeds: a parent's place, then the place among its links.
+            following = out.select("url", F.lit(depth + 1).alias("depth"), F.concat(F.array(F.lit(AFTER_SEEDS)), "ord", F.array(F.col("pos").cast("bigint"))).alias("ord"))
             waiting = cut(waiting.where(F.col("depth") > depth).unionByName(following))
+    # At most ``max_pages`` rows.
     return result.withColumn("page_ord", F.row_number().over(Window.orderBy("depth", "ord")) - 1).drop("ord")
+
+
+def crawl_log(snapshot: DataFrame, text: bool = True) -> DataFrame:
+    """``url, event`` of every page of a snapshot: ``fetch_failed``, and with ``text`` ``dropped_empty`` or ``accepted``, else ``fetched``."""
+    pages = snapshot.where("kind = 'html'").select("url").distinct()
+    read = fetched(snapshot).select("url", F.coalesce(extract_page("body", "url")["text"] == "", F.lit(True)).alias("empty") if text else F.lit(None).cast("boolean").alias("empty"))
+    rows = pages.join(read.groupBy("url").agg(F.lit(True).alias("read"), F.min("empty").alias("empty")), "url", "left")
+    kept = F.when(F.col("empty"), "dropped_empty").otherwise("accepted") if text else F.lit("fetched")
+    return rows.select("url", F.when(F.col("read").isNull(), "fetch_failed").otherwise(kept).alias("event"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import page_base, tokens, windows
@@ -57,6 +57,8 @@ def corpus_statistics(lengths: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: bool = True) -> Index:
     """The index of ``docs``; with ``keep`` its postings are computed once, for any number of questions."""
     t = tokenized(docs, text_col, id_col)
+    if keep:
+        t = cut(t)
     postings = t.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     if keep:
         postings = cut(postings)
@@ -68,3 +70,16 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
     """``page_id, chunk_pos, content, source, title`` of pages, in windows over title, address and text."""
     base = page_base(F.col("title"), F.col("url"), F.col("text"))
     return pages.select("page_id", F.posexplode(windows(base)).alias("chunk_pos", "content"), F.col("url").alias("source"), "title")
+
+
+def ordinals(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``ordinal``, their place from 0 on in the given order, which must be one of all rows.
+
+    Rows are sorted by range; the number of rows of each part, one row a part, says where the next begins.
+    """
+    placed = cut(rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    return placed.withColumn("part", part).join(F.broadcast(begins), "part").withColumn("ordinal", F.col("begin") + within).drop("part", "begin", "at")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,14 @@ def rest_seconds(status: Column, message: Column) -> Column:
     return F.when(is_rate_limit(status, message), RATE_LIMIT_REST).when(F.coalesce(message.rlike(SETUP_WORDS), F.lit(False)), SETUP_REST).otherwise(OTHER_REST)
 
 
+def rest_of(status: int | None, message: str | None) -> int:
+    """``rest_seconds`` of one failure at hand."""
+    text = message or ""
+    if status == 429 or re.search(RATE_WORDS, text):
+        return RATE_LIMIT_REST
+    return SETUP_REST if re.search(SETUP_WORDS, text) else OTHER_REST
+
+
 def rotated(providers: Column, start: Column) -> Column:
     """The list begun at ``start``, counted round in either direction."""
     n = F.size(providers)
@@ -68,6 +77,40 @@ def cooldowns(outcomes: DataFrame) -> DataFrame:
     return failed.groupBy("session_id", "provider").agg(F.max_by("until", F.struct("ts", "outcome_id")).alias("until"))
 
 
+def active(cooldowns: Column, now: Column) -> Column:
+    """The providers of a map ``provider -> until`` that still rest at ``now``, in order of name."""
+    return F.array_sort(F.map_keys(F.map_filter(cooldowns, lambda _, until: until > now)))
+
+
+#: The providers in the order they are tried, and what each needs (fixed values).
+PROVIDERS = {"openrouter": "OPENROUTER_API_KEY", "gemini": "GOOGLE_API_KEY", "groq": "GROQ_API_KEY", "ollama": "OLLAMA_BASE_URL"}
+
+
+def available(settings: dict[str, str | None]) -> list[str]:
+    """The providers whose key is set; the local one has an address by default."""
+    known = {"OLLAMA_BASE_URL": "http://localhost:11434", **settings}
+    return [p for p, need in PROVIDERS.items() if known.get(need)]
+
+
+#: An error text is cut to so many characters.
+SNIPPET = 240
+
+
+def error_message(body: Column) -> Column:
+    """What an error body says: its ``error`` text, ``error.message``, ``message``, or else its beginning."""
+    parsed = F.try_parse_json(body)
+    text = F.trim(F.coalesce(body, F.lit("")))
+    string = lambda path: F.when(F.schema_of_variant(F.try_variant_get(parsed, path, "variant")) == "STRING", F.try_variant_get(parsed, path, "string"))
+    snippet = F.when(F.length(text) > SNIPPET, F.concat(F.substring(text, 1, SNIPPET), F.lit("..."))).otherwise(text)
+    return F.when(text == "", "Empty error response").otherwise(F.coalesce(string("$.error"), string("$.error.message"), string("$.message"), snippet))
+
+
+def failure_report(checks: DataFrame) -> DataFrame:
+    """``provider, checks, failures, exit_code`` of rows ``provider, ok``."""
+    failures = F.count_if(~F.col("ok"))
+    return checks.groupBy("provider").agg(F.count("*").alias("checks"), failures.alias("failures"), (failures > 0).cast("int").alias("exit_code"))
+
+
 def call_with_fallback(call: Callable[[str], str], providers: Sequence[str], start: int = 0, resting: Sequence[str] = ()) -> tuple[str, str, list[tuple[str, str]]]:
     """``(provider, text, failures)`` of the first provider whose call succeeds; raises if none does."""
     n = len(providers)

@@ -23,9 +23,10 @@ SUGGESTION_RULES = [
 SUGGESTION_FALLBACKS = ["What is the main purpose of %s?", "What should I know before using %s?", "What details stand out most on %s?"]
 
 #: Words that show what a decision is about (fixed values).
-CRITERIA = (
-    "role job position task tasks workflow|use case|usecase project team budget timeline deadline cost price priority priorities requirements criteria goal goals need needs want wants"
-)
+CRITERIA = [
+    "role", "job", "position", "task", "tasks", "workflow", "use case", "usecase", "project", "team", "budget", "timeline", "deadline", "cost", "price", "priority", "priorities",
+    "requirements", "criteria", "goal", "goals", "need", "needs", "want", "wants",
+]
 #: Decision questions and the question that comes back, in order (fixed values).
 FOLLOW_UPS = [
     ("why should i hire (him|her|them|this person)", "What role or kind of work are you hiring for?"),
@@ -42,8 +43,7 @@ FOLLOW_UPS = [
 
 
 def _criteria_pattern() -> str:
-    words = [w for group in CRITERIA.split("|") for w in ([group] if group == "use case" else group.split())]
-    return "(?i)(?<![A-Za-z0-9_])(" + "|".join(words) + ")(?![A-Za-z0-9_])"
+    return "(?i)(?<![A-Za-z0-9_])(" + "|".join(CRITERIA) + ")(?![A-Za-z0-9_])"
 
 
 def has_criteria(question: Column) -> Column:

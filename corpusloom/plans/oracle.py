@@ -34,7 +34,7 @@ def windows(x: str) -> str:
 
 
 DOCS = "select doc_id, text from documents"
-CHUNKS = "select chunk_id as doc_id, arg_min(content, (content, source)) as text, min(source) as source from chunks group by 1"
+CHUNKS = "select chunk_id as doc_id, arg_min(content, (content, source)) as text, arg_min(source, (content, source)) as source from chunks group by 1"
 _BASE = f"""select page_id, url, title, {collapse("case when coalesce(length(title), 0) > 0 then 'Title: ' || title || chr(10) else '' end || 'URL: ' || url || chr(10) || chr(10) || coalesce(text, '')")} as t from crawled_pages"""
 WINDOWS = f"""select page_id, pos - 1 as chunk_pos, w[pos] as content from (select page_id, w, unnest(range(1, len(w) + 1)) as pos from (select page_id, case when length(t) > 0 then {windows('t')} else [] end as w from ({_BASE})))"""
 
@@ -106,7 +106,7 @@ def crawlable(h: str) -> str:
 
 
 ADMIN = "(?i)/(cdn-cgi|wp-admin|wp-login)([^A-Za-z0-9_]|$)"
-_CRITERIA = "|".join(w for g in CRITERIA.split("|") for w in ([g] if g == "use case" else g.split()))
+_CRITERIA = "|".join(CRITERIA)
 HAS_CRITERIA = f"'(?i)(^|[^A-Za-z0-9_])({_CRITERIA})([^A-Za-z0-9_]|$)'"
 _CASES = " ".join(f"when regexp_matches(lower(trim(text)), {q(p)}) then {q(t)}" for p, t in FOLLOW_UPS)
 
@@ -154,6 +154,13 @@ SQL = {
         from (select doc_id, s, unnest(range(1, len(s) + 1)) as pos from (select doc_id, {sentences('text')} as s from documents))""",
     "local_summary": RETRIEVED + " select qid, rank, sentence from summary",
     "source_list": RETRIEVED + " select qid, sources from sources",
+    "context_block": RETRIEVED
+    + """ select qid, string_agg('---' || chr(10) || case when source <> '' then 'Source: ' || source else '' end || chr(10) || 'Chunk ' || rank || ':' || chr(10) || content, chr(10) || chr(10) order by rank) as context
+          from got group by 1""",
+    "follow_up_answer": RETRIEVED
+    + f""" select qid, case when t is not null then 'The site points to ' || regexp_replace(t, '\\.$', '') || '. ' else '' end || 'To make this specific, ' || follow_up as answer
+          from (select distinct qid, case when regexp_matches(lower(trim(question)), {HAS_CRITERIA}) then null {_CASES.replace("trim(text)", "trim(question)")} end as follow_up from qs)
+          left join (select qid, sentence as t from summary where rank = 1) using (qid) where follow_up is not null""",
     "local_answer": RETRIEVED
     + f""" select qid, coalesce({q(ANSWER_LEAD)} || t, {q(NOTHING_FOUND)}) as answer, coalesce(sources, '') as sources
           from (select distinct qid from qs) left join (select qid, string_agg(sentence, ' ' order by rank) as t from summary group by 1) using (qid) left join sources using (qid)""",
@@ -209,6 +216,25 @@ SQL = {
         select url, cast(pos - 1 as integer) as pos, x[pos] as loc from (select url, x, unnest(range(1, least(len(x), 1200) + 1)) as pos from (
             select url, regexp_extract_all(body, '(?i)<loc>\s*([^<\s]+)\s*</loc>', 1) as x from ({TEXTS})))""",
     "robots_sitemaps": rf"select url, unnest(regexp_extract_all(body, '(?im)^sitemap:[ \t]*(\S+)[ \t]*\r?$', 1)) as sitemap from ({TEXTS}) where ends_with(url, '/robots.txt')",
+    "parsed_frames": """
+        select session_id, ts, case when json_valid(value) then json_extract_string(value, '$.type') end as type, case when json_valid(value) then json_extract_string(value, '$.text') end as text, json_valid(value) as valid
+        from (select session_id, ts, text as value from client_messages where text is not null
+              union all select session_id, ts, cast(to_json({'type': type, 'text': text}) as varchar) from client_messages)""",
+    "error_messages": """
+        select outcome_id, case when trim(coalesce(message, '')) = '' then 'Empty error response'
+            when json_valid(message) and json_type(message, '$.error') = 'VARCHAR' then json_extract_string(message, '$.error')
+            when json_valid(message) and json_type(message, '$.error.message') = 'VARCHAR' then json_extract_string(message, '$.error.message')
+            when json_valid(message) and json_type(message, '$.message') = 'VARCHAR' then json_extract_string(message, '$.message')
+            when length(trim(message)) > 240 then substring(trim(message), 1, 240) || '...' else trim(message) end as error
+        from provider_outcomes where not ok""",
+    "failure_report": "select provider, count(*) as checks, count(*) filter (where not ok) as failures, cast(case when count(*) filter (where not ok) > 0 then 1 else 0 end as integer) as exit_code from provider_outcomes group by 1",
+    "resting_providers": f"""
+        select session_id, string_agg(provider, ' ' order by provider) as resting from (
+            select session_id, provider, last(ts + to_seconds(case when {RATE} then 600 when {_SETUP} then 900 else 120 end) order by ts, outcome_id) as until from provider_outcomes where not ok group by 1, 2
+        ) join (select session_id, max(ts) as now from provider_outcomes group by 1) using (session_id) where until > now group by 1""",
+    "document_ordinals": f"select page_id, cast(chunk_pos as integer) as chunk_pos, row_number() over (order by page_id, chunk_pos) - 1 as ordinal from ({WINDOWS})",
+    "crawl_log": f"""
+        select url, case when url in (select url from ({HTML})) then 'fetched' else 'fetch_failed' end as event from site_snapshot where kind = 'html'""",
     "safe_json": "select event_id, case when json_valid(props) then try_cast(json_extract_string(props, '$.k') as bigint) end as k from events",
     "session_replay": """
         with m as (select distinct session_id, ts, type, text from client_messages),

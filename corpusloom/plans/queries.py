@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.functions import urls
 from corpusloom.operators import crawl, dedup, index, providers, retrieval, rules, summaries
+from corpusloom.plans.lineage import cut
 from corpusloom.sources import snapshot
 from corpusloom.sources.html import extract_page
 from corpusloom.sources.tables import table
@@ -20,13 +21,10 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-def _index(spark: SparkSession, d: str, keep: bool = True) -> index.Index:
-    return index.build_index(_documents(spark, d), keep=keep)
-
-
 def _chunk_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Delivered chunks once, numbered by id and content."""
-    return table(spark, d, "chunks").groupBy("chunk_id").agg(F.min_by("content", F.struct("content", "source")).alias("text"), F.min("source").alias("source")).withColumnRenamed("chunk_id", "doc_id")
+    """Delivered chunks once: of rows with one id the first by content and source."""
+    rows = table(spark, d, "chunks").groupBy("chunk_id").agg(F.min(F.struct("content", "source")).alias("c"))
+    return rows.select(F.col("chunk_id").alias("doc_id"), F.col("c.content").alias("text"), F.col("c.source").alias("source"))
 
 
 def _canonical_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -70,12 +68,12 @@ def _questions(spark, d):
 
 def bm25_topk_batch(spark, d):
     """Every question against every document."""
-    hits = retrieval.best(retrieval.bm25(_index(spark, d), retrieval.question_terms(_questions(spark, d))))
+    hits = retrieval.top_documents(_documents(spark, d), _questions(spark, d))
     return hits.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def retrieve_with_fallback(spark, d):
-    found = retrieval.retrieve(_index(spark, d), _questions(spark, d))
+    found = retrieval.retrieve_documents(_documents(spark, d), _questions(spark, d))
     return found.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -90,9 +88,9 @@ def chunk_counts(spark, d):
 
 def chunk_bm25_topk(spark, d):
     """The question against windows of all pages; a window is known by its page and place."""
-    chunks = index.chunk_pages(table(spark, d, "crawled_pages")).select((F.col("page_id") * 100_000 + F.col("chunk_pos")).alias("doc_id"), F.col("content").alias("text"))
+    chunks = index.chunk_pages(table(spark, d, "crawled_pages")).select(F.struct("page_id", "chunk_pos").alias("doc_id"), F.col("content").alias("text"))
     best = retrieval.best_of_one(retrieval.scan(chunks, QUESTION))
-    return best.select(F.expr("doc_id div 100000").alias("page_id"), F.expr("doc_id % 100000").alias("chunk_pos"), F.round("score", 6).alias("score"))
+    return best.select("doc_id.page_id", F.col("doc_id.chunk_pos").cast("bigint").alias("chunk_pos"), F.round("score", 6).alias("score"))
 
 
 def split_sentences(spark, d):
@@ -112,8 +110,8 @@ QUESTION_WORDS = "long does take repair array panel workshop".split()
 
 def _retrieved(spark, d):
     """Retrieved chunk texts of every question."""
-    chunks = _chunk_rows(spark, d)
-    found = retrieval.retrieve(index.build_index(chunks), _questions(spark, d))
+    chunks = cut(_chunk_rows(spark, d))
+    found = retrieval.retrieve_documents(chunks, _questions(spark, d))
     return found.join(chunks, "doc_id").join(F.broadcast(_questions(spark, d)), "qid").select("qid", "question", "rank", "doc_id", F.col("text").alias("content"), "source")
 
 
@@ -130,6 +128,66 @@ def local_answer(spark, d):
     return a.select("qid", "answer", F.array_join("sources", " ").alias("sources"))
 
 
+def context_block(spark, d):
+    return summaries.context_blocks(_retrieved(spark, d))
+
+
+def follow_up_answer(spark, d):
+    return summaries.follow_up_answers(_retrieved(spark, d), _questions(spark, d), rules.follow_up)
+
+
+def chat_prompts(spark, d):
+    """What a chat model would be asked, at a fixed moment."""
+    found, now = _retrieved(spark, d), F.to_timestamp(F.lit("2024-05-01 12:00:00"))
+    return summaries.prompts(found, _questions(spark, d), now).select("qid", "system", "user")
+
+
+def document_ordinals(spark, d):
+    """The place of every window of every page."""
+    chunks = index.chunk_pages(table(spark, d, "crawled_pages")).select("page_id", "chunk_pos")
+    return index.ordinals(chunks, "page_id", "chunk_pos")
+
+
+def crawl_log(spark, d):
+    return crawl.crawl_log(table(spark, d, "site_snapshot"), text=False)
+
+
+def crawl_outcomes(spark, d):
+    return crawl.crawl_log(table(spark, d, "site_snapshot"))
+
+
+def crawl_site(spark, d):
+    """A crawl of the first site by address, over its snapshot."""
+    pages = table(spark, d, "site_snapshot")
+    first = pages.where("kind = 'html' and status = 200").agg(F.min("url")).first()[0]
+    found = crawl.crawl(pages, first)
+    return found.select("url", "title", "depth", "page_ord", F.size("links").alias("n_links"))
+
+
+def parsed_frames(spark, d):
+    """Messages read back from their frames, and raw texts read as frames, most of which they aren't."""
+    m = table(spark, d, "client_messages")
+    wire = m.where("text is not null").select("session_id", "ts", F.col("text").alias("value")).unionByName(m.select("session_id", "ts", F.to_json(F.struct("type", "text")).alias("value")))
+    return sessions.parsed_frames(wire)
+
+
+def error_messages(spark, d):
+    return table(spark, d, "provider_outcomes").where("not ok").select("outcome_id", providers.error_message(F.col("message")).alias("error"))
+
+
+def failure_report(spark, d):
+    return providers.failure_report(table(spark, d, "provider_outcomes"))
+
+
+def resting_providers(spark, d):
+    """The providers that still rest at each session's last attempt."""
+    o = table(spark, d, "provider_outcomes")
+    now = o.groupBy("session_id").agg(F.max("ts").alias("now"))
+    ends = providers.cooldowns(o).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("provider", "until"))).alias("ends"))
+    resting = ends.join(now, "session_id").select("session_id", providers.active(F.col("ends"), F.col("now")).alias("r"))
+    return resting.where(F.size("r") > 0).select("session_id", F.array_join("r", " ").alias("resting"))
+
+
 def normalize_url(spark, d):
     return table(spark, d, "crawled_pages").select("page_id", urls.canonical_url("url").alias("canonical"))
 
@@ -302,7 +360,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_docs, term_freq, doc_length, doc_freq, corpus_stats, bm25_scores, bm25_topk, bm25_topk_batch, retrieve_with_fallback, chunk_text, chunk_counts, chunk_bm25_topk, split_sentences,
-        sentence_overlap, local_summary, source_list, local_answer, normalize_url, strip_tracking, url_origin, same_origin_links, crawlable_links, link_targets, fetch_join, frontier_anti_visited,
+        sentence_overlap, local_summary, source_list, local_answer, context_block, follow_up_answer, chat_prompts, document_ordinals, crawl_log, crawl_outcomes, crawl_site, parsed_frames,
+        error_messages, failure_report, resting_providers, normalize_url, strip_tracking, url_origin, same_origin_links, crawlable_links, link_targets, fetch_join, frontier_anti_visited,
         bfs_reach, collapse_ws, truncate_text, meaningful_text, prefix_dedup, site_corpus, suggestion_scores, site_name, site_suggestions, decision_criteria, decision_followup, fetched_pages,
         page_title, page_links, html_text_blocks, html_page_text, sitemap_locs, robots_sitemaps, safe_json, session_replay, provider_failover, provider_cooldowns, provider_rotation,
     )
