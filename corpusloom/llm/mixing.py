@@ -15,6 +15,7 @@ Extra columns are ignored. An empty table gives an empty mix.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,16 +32,25 @@ ROUNDS = 3
 
 
 def thresholds(mean: float, cap: int) -> np.ndarray:
-    """Poisson distribution function at ``0 .. cap - 1``: a document's count is how many of them its number reaches."""
-    if mean == math.inf:
-        return np.zeros(cap)
-    k = np.arange(cap)
-    logs = -mean + k * math.log(mean) - np.array([math.lgamma(i + 1) for i in k]) if mean > 0 else np.where(k == 0, 0.0, -np.inf)
-    return np.minimum(np.cumsum(np.exp(logs)), 1.0)
+    """Poisson distribution function at ``0 .. cap - 1``, as far as it is below 1: a document's count is how many of them its
+    number reaches, and no number reaches 1. The length grows with the mean, never with the cap."""
+    k = np.arange(min(cap, math.ceil(mean + 12 * math.sqrt(mean)) + 50))
+    logs = -mean + k * math.log(mean) - np.concatenate([[0.0], np.cumsum(np.log(k[1:]))]) if mean > 0 else np.where(k == 0, 0.0, -np.inf)
+    below = np.minimum(np.cumsum(np.exp(logs)), 1.0)
+    return below[below < 1.0]
+
+
+def counts(mean: float, cap: int, u: np.ndarray) -> np.ndarray:
+    """How often documents with these numbers are used."""
+    return np.full(len(u), cap) if mean == math.inf else np.searchsorted(_thresholds(mean, cap), u, side="right")
+
+
+#: A task goes through few sources at a time; the arrays are made where they are used and never sent.
+_thresholds = lru_cache(maxsize=64)(thresholds)
 
 
 def expected_count(mean: float, cap: int) -> float:
-    return float((1 - thresholds(mean, cap)).sum())
+    return float(cap) if mean == math.inf else float((1 - thresholds(mean, cap)).sum())
 
 
 def mean_for(rate: float, cap: int) -> float:
@@ -78,21 +88,28 @@ def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     return found
 
 
-def _totals(docs: DataFrame, tables: dict[str, list[np.ndarray]]) -> dict[str, np.ndarray]:
-    """Tokens of each source's mix under each of its tables of thresholds: sums within batches, then over batches."""
+def _by_source(sources: list):
+    """``(source, places)`` of the sources of a batch, found in one sort."""
+    names, code = np.unique(np.array(sources, object), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    return zip(names.tolist(), np.split(order, np.cumsum(np.bincount(code))[:-1]))
+
+
+def _totals(docs: DataFrame, grids: dict[str, tuple[list[float], int]]) -> dict[str, np.ndarray]:
+    """Tokens of each source's mix under each mean of its grid: sums within batches, then over batches. Means and caps are sent."""
 
     def run(sources: list, sizes: list, us: list) -> dict[str, list]:
-        names, n, u = np.array(sources, object), np.array(sizes, np.float64), np.array(us)
+        n, u = np.array(sizes, np.float64), np.array(us)
         out: dict[str, list] = {"source": [], "totals": []}
-        for s in set(sources):
-            own = names == s
+        for s, own in _by_source(sources):
+            means, cap = grids[s]
             out["source"].append(s)
-            out["totals"].append([float((n[own] * np.searchsorted(t, u[own], side="right")).sum()) for t in tables[s]])
+            out["totals"].append([float((n[own] * counts(m, cap, u[own])).sum()) for m in means])
         return out
 
-    parts = map_columns(docs.where(F.col("source").isin(list(tables))).select("source", "n_tokens", "u"), run, "source string, totals array<double>")
+    parts = map_columns(docs.where(F.col("source").isin(list(grids))).select("source", "n_tokens", "u"), run, "source string, totals array<double>")
     rows = parts.select("source", F.posexplode("totals").alias("k", "t")).groupBy("source", "k").agg(F.sum("t").alias("t")).collect()
-    found = {s: np.zeros(len(t)) for s, t in tables.items()}
+    found = {s: np.zeros(len(means)) for s, (means, _) in grids.items()}
     for r in rows:
         found[r["source"]][r["k"]] = r["t"]
     return found
@@ -107,7 +124,7 @@ def fitted_means(docs: DataFrame, targets: dict[str, tuple[float, int]], total_t
     low, high = {s: means[s] * 0.5 for s in free}, {s: means[s] * 1.6 + 0.1 for s in free}
     for _ in range(ROUNDS if free else 0):
         grids = {s: np.linspace(low[s], high[s], GRID) for s in free}
-        found = _totals(docs, {s: [thresholds(m, targets[s][1]) for m in grids[s]] for s in free})
+        found = _totals(docs, {s: (grids[s].tolist(), targets[s][1]) for s in free})
         for s in free:
             k = int(np.abs(found[s] - targets[s][0] * total).argmin())
             means[s] = float(grids[s][k])
@@ -119,12 +136,17 @@ def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None
     """``(mix, shares)``: the chosen documents ``doc_id, source, repeat_no, n_tokens, mix_key`` in shuffled order, and per
     source ``target_share, max_repeats, documents, mixed_documents, most_repeats, mixed_tokens, reached_share``."""
     wanted = _targets(targets)
-    spark = docs.sparkSession
     known = cut(sized(docs, targets, vocabulary))
     means = fitted_means(known, wanted, total_tokens)
-    rows = [(s, [float(x) for x in thresholds(means[s], cap)]) for s, (_, cap) in wanted.items()]
-    tables = F.broadcast(spark.createDataFrame(rows, "source string, steps array<double>"))
-    counted = known.join(tables, "source").withColumn("n", F.size(F.filter("steps", lambda c: F.col("u") >= c)))
+    plan = {s: (means[s], cap) for s, (_, cap) in wanted.items()}
+
+    def draw(ids: list, sources: list, sizes: list, us: list) -> dict[str, list]:
+        u, n = np.array(us), np.zeros(len(us), np.int64)
+        for s, own in _by_source(sources):
+            n[own] = counts(*plan[s], u[own])
+        return {"doc_id": ids, "source": sources, "n_tokens": sizes, "n": n}
+
+    counted = map_columns(known.select("doc_id", "source", "n_tokens", "u"), draw, "doc_id bigint, source string, n_tokens bigint, n int")
     mix = (
         counted.where("n > 0")
         .select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("repeat_no"), "n_tokens")

@@ -117,22 +117,22 @@ def _names(s: State) -> dict:
 def document_counts(docs: DataFrame, common_words: frozenset, text_col: str = "text", id_col: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """``id`` and the counts of every document.
 
-    Documents of one chunk are finished in the scan; the states of the others travel, never their texts.
+    Documents are cut in one pass in the scan, whatever their size, and those of one chunk are finished there; the states of the
+    others travel, never their texts.
     """
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    size = F.greatest(F.lit(1), F.ceil(F.length("body") / F.lit(chunk))).cast("int")
-    cut_up = source.select("row", "id", "body", size.alias("n")).select("row", "id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("no"), "body")
-    parts = cut_up.select("row", "id", "no", "n", F.when(F.col("n") == 1, F.col("body")).otherwise(F.expr(f"substring(body, no * {chunk} + 1, {chunk})")).alias("body"))
-
-    def states(rows: list, ids: list, nos: list, ns: list, bodies: list) -> dict[str, list]:
-        out: dict[str, list] = {"row": rows, "id": ids, "no": nos, "n": ns, "state": [], "total": []}
-        for n, body in zip(ns, bodies):
-            s = state_of(body, common_words)
-            out["state"].append(None if n == 1 else _names(s))
-            out["total"].append(closed(s, common_words) if n == 1 else None)
+
+    def states(rows: list, ids: list, bodies: list) -> dict[str, list]:
+        out: dict[str, list] = {"row": [], "id": [], "no": [], "n": [], "state": [], "total": []}
+        for row, i, body in zip(rows, ids, bodies):
+            n = max(1, -(-len(body) // chunk))
+            for no in range(n):
+                s = state_of(body[no * chunk : (no + 1) * chunk], common_words)
+                for name, x in zip(out, (row, i, no, n, None if n == 1 else _names(s), closed(s, common_words) if n == 1 else None)):
+                    out[name].append(x)
         return out
 
-    drawn = cut(map_columns(parts, states, f"row bigint, id bigint, no int, n int, state struct<{_struct()}>, total array<bigint>"))
+    drawn = cut(map_columns(source, states, f"row bigint, id bigint, no int, n int, state struct<{_struct()}>, total array<bigint>"))
     done = drawn.where("n = 1").select("id", "total")
     rest = drawn.where("n > 1").select("row", "id", "no", "state")
     most = rest.agg(F.max("no")).first()[0]

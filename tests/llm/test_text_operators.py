@@ -449,9 +449,27 @@ def test_mixing_reaches_shares(spark):
         mixing.mixed(docs, targets.withColumn("max_repeats", targets["max_repeats"] * 0))
 
 
+def test_a_huge_cap_costs_nothing(spark):
+    cap = 10**9
+    assert len(mixing.thresholds(3.0, cap)) < 100 and len(mixing.thresholds(3.0, 2)) == 2
+    u = np.array([0.0, 0.04, 0.06, 0.5, 0.9999999])
+    assert mixing.counts(3.0, cap, u).tolist() == [0, 0, 1, 3, 16] and mixing.counts(3.0, 2, u).tolist() == [0, 0, 1, 2, 2] and mixing.counts(float("inf"), 4, u).tolist() == [4] * 5
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 2), "ab"[i % 2]) for i in range(200)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, cap), ("b", 0.7, cap)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r["reached_share"] for r in mixing.mixed(docs, targets)[1].collect()}
+    assert abs(got["a"] - 0.3) < 0.02
+
+
 # ---- text statistics
 
 
+def test_a_document_of_many_megabytes(spark):
+    text = "The lamp is in the garden. " * 200_000
+    docs = spark.createDataFrame([(1, text), (2, "The lamp is in the garden. ")], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in text_quality.text_quality(docs, frozenset(["the", "is", "in"])).collect()}
+    assert rows[1]["words"] == 1_200_000 and rows[1]["common_share"] == rows[2]["common_share"] and rows[1]["natural_prose"]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="ab. !?\n\"1é%-", max_size=120), st.lists(st.integers(0, 120), max_size=4))
 def test_states_merge_to_the_whole(text, cuts):
