@@ -13,6 +13,8 @@ all but 4 in 10,000 pairs at 0.7 itself, all but 3 in 100,000 at 0.75, all but 1
 Whole sketches miss none at 0.7 or above: in a union of u < k values more than two thirds are shared, so from u = 21 on
 some three of them are neighbours, and two texts of a smaller union share single values.
 
+Lists and classes of any length are worked on in blocks (``_pairs``), so a text that a third of all pages repeat is spread.
+
 Defined results: NULL texts and texts with fewer than ``min_tokens`` tokens take no part in pairs; in the groups each is
 its own class. Ids must be unique; of repeated ids one row is used. Extra columns are ignored.
 """
@@ -38,6 +40,8 @@ SHORT_RUN = 3
 #: Texts of so few shingles are listed under single values: 14 shared values of 20 can lie without a run of three.
 SINGLES = 20
 ERRORS = 4.0
+#: A list of more members is cut into blocks of about so many, and every pair of blocks is worked on by itself.
+LIST = 2_000
 #: Up to so many ids are sent to every executor (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -155,11 +159,8 @@ def linked_classes(
     classes = drawn.groupBy("twin").agg(F.min("id").alias("class_id"))
     members = cut(drawn.select("id", "twin").join(classes, "twin").select("id", "class_id").distinct())
     heads = drawn.join(members.where("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    postings = _postings(heads, k)
-    left = postings.select(F.col("id").alias("a"), "key", F.col("n").alias("n_a"))
-    right = postings.select(F.col("id").alias("b"), "key", F.col("n").alias("n_b"))
-    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
-    candidates = cut(left.join(right, "key").where(fits).select("a", "b").distinct())
+    fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
+    candidates = cut(_pairs(_postings(heads, k)).where(fits).select("a", "b").distinct())
     side = _only(heads.select("id", "sketch"), candidates)
     drawn_pairs = candidates.join(side.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(
         side.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b"
@@ -178,6 +179,29 @@ def linked_classes(
     return members, _verified(docs, near, text_col, id_col, shingle, similarity)
 
 
+def _pairs(lists: DataFrame) -> DataFrame:
+    """``a, b, n_a, n_b`` with a < b of the members ``key, id, n`` of one list, once for each list they share.
+
+    The lists are shuffled once and read for both sides. A list of more than ``LIST`` members is cut into blocks by a hash of
+    the id, and each pair of its blocks is a key of its own, so that no task works on all pairs of a long list.
+    """
+    placed = lists.repartition("key")
+    long = placed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LIST)
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        a = left.select(*on, F.col("id").alias("a"), F.col("n").alias("n_a"))
+        b = right.select(*on, F.col("id").alias("b"), F.col("n").alias("n_b"))
+        return a.join(b, on).where("a < b").select("a", "b", "n_a", "n_b")
+
+    short = placed.join(long.select("key"), "key", "left_anti")
+    blocks = placed.join(long, "key").withColumn("parts", F.ceil(F.col("m") / F.lit(LIST)).cast("int"))
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = blocks.select("key", "id", "n", F.col("own").alias("i"), every.alias("j"))
+    right = blocks.select("key", "id", "n", every.alias("i"), F.col("own").alias("j"))
+    return joined(short, short, ["key"]).unionByName(joined(left, right, ["key", "i", "j"]))
+
+
 def _only(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``rows`` whose ``id`` is in a pair; ``pairs`` must be cheap to read again."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -212,14 +236,7 @@ def similar_pairs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     members, links = linked_classes(docs, text_col, id_col, **parameters)
     left = members.select(F.col("id").alias("x"), F.col("class_id").alias("a"))
     right = members.select(F.col("id").alias("y"), F.col("class_id").alias("b"))
-    crowded = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
-    twins = members.join(crowded, "class_id", "left_semi")
-    equal = (
-        twins.select(F.col("id").alias("id_a"), "class_id")
-        .join(twins.select(F.col("id").alias("id_b"), "class_id"), "class_id")
-        .where("id_a < id_b")
-        .select("id_a", "id_b")
-    )
+    equal = _pairs(members.select(F.col("class_id").alias("key"), "id", F.lit(1).alias("n"))).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     across = links.select("a", "b").join(left, "a").join(right, "b")
     return equal.unionByName(across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")))
 

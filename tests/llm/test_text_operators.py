@@ -175,6 +175,17 @@ def test_level_one_covers_the_lines_of_all_patterns(spark):
     assert got == {at for at, line in keys.items() if line in singles | in_patterns}
 
 
+def test_long_lists_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "LIST", 4)
+    rnd = random.Random(12)
+    lists = {key: [i for i in range(60) if rnd.random() < share] for key, share in ((1, 0.9), (2, 0.05), (3, 0.3), (4, 0.0))}
+    rows = spark.createDataFrame([(key, i, i % 7) for key, ids in lists.items() for i in ids], "key bigint, id bigint, n int")
+    want = sorted((a, b, a % 7, b % 7) for ids in lists.values() for a, b in combinations(ids, 2))
+    assert sorted(map(tuple, near_duplicates._pairs(rows).collect())) == want
+    same = spark.createDataFrame([(i, "one two three four five six") for i in range(30)], "doc_id bigint, text string")
+    assert near_duplicates.similar_pairs(same).count() == 30 * 29 // 2
+
+
 # ---- keyword pages
 
 
