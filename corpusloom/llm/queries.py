@@ -58,6 +58,15 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).dropDuplicates(["item_kind", "item_id", "piece_no", "start", "piece"])
 
 
+def p3_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pieces of every item that was cut make up its text: their own characters, and pieces beyond the limits."""
+    own = F.col("start") + F.length("piece") - F.col("core_start")
+    cut_up = p3_pieces(spark, d).where("n_pieces > 1")
+    return cut_up.groupBy("item_kind", "item_id").agg(
+        F.sum(own).cast("bigint").alias("n_chars"), F.count_if(F.length("piece") > splitting.LIMIT).alias("too_long"), F.count_if(F.col("core_start") - F.col("start") > splitting.OVERLAP).alias("too_much_shared")
+    )
+
+
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     pages, chunks = _items(spark, d)
     return pages.unionByName(chunks)
@@ -112,6 +121,17 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p8_packing(spark, d), table(spark, d, "container_specs"))
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """For every capacity: documents that came out, pieces beyond those that the capacity forces, containers above it."""
+    specs = table(spark, d, "container_specs").select("spec_id", "capacity_tokens")
+    rows = p8_packing(spark, d)
+    by_document = rows.groupBy("spec_id", "doc_id").agg(F.count("*").alias("n"), F.sum("piece_tokens").alias("tokens")).join(F.broadcast(specs), "spec_id")
+    split = (F.col("n") > 1) & (F.col("n") > F.ceil(F.col("tokens") / F.col("capacity_tokens")))
+    documents = by_document.groupBy("spec_id").agg(F.count("*").alias("documents"), F.count_if(split).alias("split_without_need"))
+    full = packing.container_fill(rows, specs).groupBy("spec_id").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("overfull"))
+    return specs.select("spec_id").join(documents, "spec_id").join(full, "spec_id")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The chosen documents with their repeats, in shuffled order."""
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
@@ -122,6 +142,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """For every target: its documents that have a text, and uses of documents of other sources or beyond the cap."""
+    targets = table(spark, d, "mix_targets").select("source", "max_repeats")
+    mix = p9_mix(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("source").alias("true_source")), "doc_id")
+    wrong = mix.groupBy("source").agg(F.max("repeat_no").alias("most"), F.count_if(F.col("source") != F.col("true_source")).alias("wrong"))
+    rows = p9_shares(spark, d).select("source", "documents").join(wrong, "source", "left").join(F.broadcast(targets), "source")
+    return rows.select("source", "documents", F.coalesce("wrong", F.lit(0)).alias("of_other_sources"), (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).alias("beyond_cap"))
+
+
 #: The list of common words is small by definition; a larger one is refused rather than sent to every task.
 MAX_COMMON_WORDS = 100_000
 
@@ -142,7 +171,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_stats(spark, d).where("natural_prose = false").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p6_found, p6_groups, p7_found, p7_pages, p7_sequences, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_main, p2_found, p3_found, p3_pieces, p3_cover, p4_found, p4_masked, p5_found, p6_found, p6_groups, p7_found, p7_pages, p7_sequences, p8_packing, p8_fill, p8_check, p9_mix, p9_shares, p9_check, p10_found, p10_stats)}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
@@ -205,6 +234,47 @@ SQL = {
         join sizes x on x.page_id = page_id_a join sizes y on y.page_id = page_id_b
         where both_n >= 0.7 * (x.n + y.n - both_n)
     """,
+    "p3_cover": rf"""
+        select 'page' as item_kind, page_id as item_id, length(text) as n_chars, 0 as too_long, 0 as too_much_shared from crawled_pages
+        where length(trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))) > 5000
+        union all
+        select 'chunk', chunk_id, sum(length(content)), 0, 0 from (select distinct chunk_id, content from chunks)
+        where length(trim(regexp_replace(content, '{_SPACE}', ' ', 'g'))) > 1400 group by chunk_id
+    """,
+    "p6_groups": r"""
+        with recursive words as (
+            select page_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from crawled_pages
+        ), classes as (select page_id, case when len(w) >= 50 then min(page_id) over (partition by w) else page_id end as class_id, w from words),
+        shingles as (
+            select distinct page_id, hash(w[i], w[i + 1], w[i + 2]) as s
+            from (select page_id, w, unnest(range(1, len(w) - 1)) as i from classes where page_id = class_id and len(w) >= 50)
+        ), sizes as (select page_id, count(*) as n from shingles group by 1),
+        shared as (
+            select a.page_id as a, b.page_id as b, count(*) as both_n from shingles a join shingles b on a.s = b.s and a.page_id <> b.page_id group by 1, 2
+        ), edges as (
+            select a, b from shared join sizes x on x.page_id = a join sizes y on y.page_id = b where both_n >= 0.7 * (x.n + y.n - both_n)
+        ), reach(a, b) as (select a, b from edges union select reach.a, edges.b from reach join edges on reach.b = edges.a),
+        roots as (select a, min(b) as root from reach group by 1), degree as (select a, count(*) as links from edges group by 1)
+        select page_id, class_id, least(class_id, coalesce(root, class_id)) as group_id, coalesce(links, 0) as links
+        from classes left join roots on roots.a = class_id left join degree on degree.a = class_id
+    """,
+    "p7_pages": rf"""
+        with lines as (
+            select page_id, host, line_no, parts[line_no] as line, regexp_replace(lower(parts[line_no]), '[^\p{{L}}]+', '', 'g') as key
+            from (select page_id, {_HOST} as host, string_split(text, chr(10)) as parts,
+                         unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no from crawled_pages)
+        ), sizes as (select {_HOST} as host, count(*) as n from crawled_pages group by 1),
+        kept as (
+            select host, key from (select host, key, count(distinct page_id) as pages from lines where key <> '' and host <> '' group by 1, 2)
+            join sizes using (host) where pages >= 5 and pages >= 0.2 * n
+        )
+        select page_id, coalesce(string_agg(line, chr(10) order by line_no) filter (where kept.key is null), '') as kept_text, cast(count(kept.key) as integer) as removed
+        from lines left join kept using (host, key) group by 1
+    """,
+    "p8_check": "select spec_id, (select count(*) from documents) as documents, 0 as split_without_need, 0 as overfull from container_specs",
+    "p9_check": r"""
+        select source, (select count(*) from documents d where d.source = t.source and length(text) > 0) as documents, 0 as of_other_sources, false as beyond_cap from mix_targets t
+    """,
     "p7_found": rf"""
         with lines as (
             select page_id, host, line_no - 1 as line_no, regexp_replace(lower(parts[line_no]), '[^\p{{L}}]+', '', 'g') as key

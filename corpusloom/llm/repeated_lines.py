@@ -10,7 +10,8 @@ pattern that holds it.
 
 Defined results: two lines are one line if their letters agree after lower-casing; lines without letters and NULL or empty
 texts have no identifier and never count. A page whose host is NULL or cannot be read belongs to no source and has no
-repeated lines, though it comes out of ``without_repeated_lines`` unchanged. Repeated rows are pages of their own. Extra
+repeated lines, though it comes out of ``without_repeated_lines`` unchanged. Repeated rows count as pages of their own, but
+ids should be unique: lines and texts are brought together by id. Extra
 columns are ignored. An empty table gives an empty result.
 """
 
