@@ -22,8 +22,11 @@ its own class. Ids must be unique; of repeated ids one row is used. Extra column
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +44,7 @@ SHORT_RUN = 3
 SINGLES = 20
 ERRORS = 4.0
 #: A list of more members is cut into blocks of about so many, and every pair of blocks is worked on by itself.
-LIST = 2_000
+LIST = 1_000
 #: Up to so many ids are sent to every executor (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -159,8 +162,7 @@ def linked_classes(
     classes = drawn.groupBy("twin").agg(F.min("id").alias("class_id"))
     members = cut(drawn.select("id", "twin").join(classes, "twin").select("id", "class_id").distinct())
     heads = drawn.join(members.where("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
-    candidates = cut(_pairs(_postings(heads, k)).where(fits).select("a", "b").distinct())
+    candidates = cut(_pairs(_postings(heads, k), similarity))
     side = _only(heads.select("id", "sketch"), candidates)
     drawn_pairs = candidates.join(side.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(
         side.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b"
@@ -179,27 +181,77 @@ def linked_classes(
     return members, _verified(docs, near, text_col, id_col, shingle, similarity)
 
 
-def _pairs(lists: DataFrame) -> DataFrame:
-    """``a, b, n_a, n_b`` with a < b of the members ``key, id, n`` of one list, once for each list they share.
+def _pairs(lists: DataFrame, similarity: float = 0.0) -> DataFrame:
+    """Distinct ``a, b`` with a < b of the members ``key, id, n`` of one list whose sizes ``n`` allow the similarity.
 
-    The lists are shuffled once and read for both sides. A list of more than ``LIST`` members is cut into blocks by a hash of
-    the id, and each pair of its blocks is a key of its own, so that no task works on all pairs of a long list.
+    Lists are shuffled once, sorted and paired as they pass, most of them having one member. A list of more than ``LIST``
+    members is handed on instead: it is cut into blocks by a hash of the id, and each pair of its blocks is a key of its own,
+    so that no task works on all pairs of a long list.
     """
-    placed = lists.repartition("key")
-    long = placed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LIST)
 
-    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        a = left.select(*on, F.col("id").alias("a"), F.col("n").alias("n_a"))
-        b = right.select(*on, F.col("id").alias("b"), F.col("n").alias("n_b"))
-        return a.join(b, on).where("a < b").select("a", "b", "n_a", "n_b")
-
-    short = placed.join(long.select("key"), "key", "left_anti")
-    blocks = placed.join(long, "key").withColumn("parts", F.ceil(F.col("m") / F.lit(LIST)).cast("int"))
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        long_key = None
+
+        def flush(parts: list[np.ndarray], whole: bool) -> tuple[list, list[np.ndarray]]:
+            """The pairs and long members of all lists, and what is kept: the last list, unless it can't go on."""
+            nonlocal long_key
+            key, ids, n = parts
+            if not len(key):
+                return [], parts
+            begin = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            size = np.diff(np.concatenate([begin, [len(key)]]))
+            if not whole and not (size[-1] > LIST or key[-1] == long_key):
+                kept, begin, size = [x[begin[-1] :] for x in parts], begin[:-1], size[:-1]
+            else:
+                kept = [x[:0] for x in parts]
+            out = []
+            for at, m in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
+                if m <= LIST and key[at] != long_key:
+                    i, j = _corners(m)
+                    first, second = at + i, at + j
+                    fits = (np.minimum(n[first], n[second]) >= similarity * np.maximum(n[first], n[second])) & (ids[first] != ids[second])
+                    x, y = ids[first[fits]], ids[second[fits]]
+                    out.append((np.minimum(x, y), np.maximum(x, y), None))
+                else:
+                    out.append((ids[at : at + m], n[at : at + m], key[at]))
+                    long_key = key[at]
+            for at in begin[size == 1].tolist() if long_key is not None else ():
+                if key[at] == long_key:
+                    out.append((ids[at : at + 1], n[at : at + 1], key[at]))
+            return out, kept
+
+        def batch(out: list) -> Iterator[pa.RecordBatch]:
+            if out:
+                keys = np.concatenate([np.full(len(x), 0 if k is None else k) for x, _, k in out])
+                paired = np.concatenate([np.full(len(x), k is None) for x, _, k in out])
+                second = np.concatenate([y for _, y, _ in out]).astype(np.int64)
+                columns = [np.concatenate([x for x, _, _ in out]), (second, ~paired), (second, paired), (keys, paired)]
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64(), mask=c[1]) if isinstance(c, tuple) else pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n", "key"])
+
+        for part in batches:
+            own = [part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+            out, held = flush([np.concatenate(x) for x in zip(held, own)], False)
+            yield from batch(out)
+        yield from batch(flush(held, True)[0])
+
+    placed = lists.select("key", "id", F.col("n").cast("bigint")).repartition("key").sortWithinPartitions("key")
+    found = cut(placed.mapInArrow(run, "a bigint, b bigint, n bigint, key bigint").distinct())
+    members = found.where("b is null").select("key", F.col("a").alias("id"), "n")
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(LIST)).cast("int").alias("parts"))
+    blocks = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = blocks.select("key", "id", "n", F.col("own").alias("i"), every.alias("j"))
-    right = blocks.select("key", "id", "n", every.alias("i"), F.col("own").alias("j"))
-    return joined(short, short, ["key"]).unionByName(joined(left, right, ["key", "i", "j"]))
+    left = blocks.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("i"), every.alias("j"))
+    right = blocks.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), every.alias("i"), F.col("own").alias("j"))
+    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
+    across = left.join(right, ["key", "i", "j"]).where(fits).select("a", "b")
+    return found.where("b is not null").select("a", "b").unionByName(across).distinct()
+
+
+@lru_cache(maxsize=16)
+def _corners(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places of a short list."""
+    return np.triu_indices(m, 1)
 
 
 def _only(rows: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -180,8 +180,15 @@ def test_long_lists_are_paired_in_blocks(spark, monkeypatch):
     rnd = random.Random(12)
     lists = {key: [i for i in range(60) if rnd.random() < share] for key, share in ((1, 0.9), (2, 0.05), (3, 0.3), (4, 0.0))}
     rows = spark.createDataFrame([(key, i, i % 7) for key, ids in lists.items() for i in ids], "key bigint, id bigint, n int")
-    want = sorted((a, b, a % 7, b % 7) for ids in lists.values() for a, b in combinations(ids, 2))
+    want = sorted({(a, b) for ids in lists.values() for a, b in combinations(ids, 2)})
     assert sorted(map(tuple, near_duplicates._pairs(rows).collect())) == want
+    assert sorted(map(tuple, near_duplicates._pairs(rows, 0.5).collect())) == [(a, b) for a, b in want if min(a % 7, b % 7) >= 0.5 * max(a % 7, b % 7)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(tuple, near_duplicates._pairs(rows).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert near_duplicates._pairs(rows.limit(0)).count() == 0
     same = spark.createDataFrame([(i, "one two three four five six") for i in range(30)], "doc_id bigint, text string")
     assert near_duplicates.similar_pairs(same).count() == 30 * 29 // 2
 
