@@ -1,26 +1,31 @@
 """Problem 4: personal information by a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-1. Every line of a text is a segment and is read whole; nothing is left out beforehand. Equal lines of a call are read once.
-2. Each segment is read in windows of ``WINDOW`` characters that overlap by ``OVERLAP``. Where windows overlap their
-   emissions are averaged, and one Viterbi pass over the whole segment decides all its labels together.
+1. Every text is cut into sentences (``SPLIT``); nothing is left out. A sentence that stands in many texts, as those of chunks
+   and of the page they were cut from do, is read once: distinct sentences are the rows the network sees.
+2. Each sentence is read, two characters a step, in windows of ``WINDOW`` characters that overlap by ``OVERLAP``. Where windows overlap their
+   emissions are averaged, and one Viterbi pass over the whole sentence decides all its labels together.
 3. An exact check sets each span to the bounds of its token, address or number, and drops spans without the form of their
    type. Capitals of any script count in names, and so do particles between the parts and initials.
 
-Weights are those of ``pii_weights.npz``, made by ``pii_train`` (numpy, from labelled spans). Texts are whole; nothing is shuffled.
+Sentences with items are joined back to the texts by a 128-bit hash. A sentence that stands in a third of all texts is one row
+of the network and, in the join, a key that adaptive execution splits. Weights are those of ``pii_weights.npz``, made by
+``pii_train`` (numpy, from labelled spans).
 
 Defined results: NULL and empty texts hold nothing and come out as they are; repeated rows are judged alike; extra columns
-are ignored; placeholders are ``[EMAIL] [PHONE] [ID_NUMBER] [ADDRESS] [NAME]``.
+are ignored; placeholders are ``[EMAIL] [PHONE] [ID_NUMBER] [ADDRESS] [NAME]``. A sentence longer than ``LONG`` characters is
+decoded in parts that share ``SHARED`` characters; an item within the shared part comes out once.
 """
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_columns
@@ -29,25 +34,42 @@ TYPES = ("email", "phone", "id_number", "address", "name")
 TAGS = 1 + 2 * len(TYPES)  # none, then begin and inside of each type
 WINDOW = 160
 OVERLAP = 48
-HIDDEN = 32
-CELLS = 1 << 19  # characters decoded at once, which bounds memory; a longer line is decoded alone
+HIDDEN = 24
+EMBEDDING = 10
+ROWS = 512  # windows read together
+CELLS = 1 << 18  # characters decoded at once, which bounds memory
+LONG, SHARED = 2048, 256
 
-_COMMON = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n.,;:!?'\"()[]{}@/\\-–_+*#%&=<>|·º°áéíóúñäöüßÁÉÍÓÚÑÄÖÜåøæëèêç¿¡“”„’…"
-CHARS = {c: i + 5 for i, c in enumerate(_COMMON)}
-VOCABULARY = len(CHARS) + 5
+#: A sentence ends at a line end, or at the blank after a mark that follows four letters (so not after initials and most abbreviations).
+SPLIT = r"[ \t](?<=[a-zäöüßáéíóúñ]{4}[.!?][ \t])|\n"
+_CUT = re.compile(SPLIT)
+
+_COMMON = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0 \n.,;:!?'\"()[]{}@/\\-–_+*#%&=<>|·º°áéíóúñäöüßÁÉÍÓÚÑÄÖÜåøæëèêç¿¡“”„’…"
+CHARS = {c: i + 4 for i, c in enumerate(_COMMON)}
+VOCABULARY = len(CHARS) + 4
 
 
-@lru_cache(maxsize=100_000)
 def _rare(c: str) -> int:
-    return 1 if c.isspace() else 2 if c.isupper() else 3 if c.isalpha() else 4 if c.isdigit() else 0
+    """Digits are one character; others by kind."""
+    return CHARS["0"] if c.isdigit() else CHARS.get(c) or (1 if c.isspace() else 2 if c.isupper() or c.istitle() else 3 if c.isalpha() else 0)
+
+
+@lru_cache(maxsize=1)
+def _codes() -> np.ndarray:
+    """The number of every character of the first plane."""
+    return np.array([_rare(chr(c)) for c in range(1 << 16)], np.uint8)
 
 
 def encode(text: str) -> np.ndarray:
-    get = CHARS.get
-    return np.fromiter((get(c) if c in CHARS else _rare(c) for c in text), np.int16, len(text))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) and points.max() >= 1 << 16:
+        out = _codes()[np.minimum(points, 0xFFFF)]
+        for k in np.flatnonzero(points >= 1 << 16).tolist():
+            out[k] = _rare(text[k])
+        return out
+    return _codes()[points]
 
 
-_LINE = re.compile(r"[^\n]+")
 _CAP = "A-ZÀ-ÖØ-Þ"
 _S = r"[^\S\n]+"
 # Capitals of every script, as a character class.
@@ -60,77 +82,116 @@ ID_NUMBER = re.compile(r"(?<![\w/-])(?:[A-Z]{2}(?:\s?\d{2}){3}\s?[A-Z]|[A-Z]{0,2
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
 
-def segments(text: str) -> list[tuple[int, int]]:
-    """The spans of the lines of ``text``: all of it but the line ends."""
-    return [m.span() for m in _LINE.finditer(text)]
+@lru_cache(maxsize=1)
+def _one_thread() -> None:
+    """Products of small matrices gain nothing from threads that wait for each other."""
+    for library in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        handle = ctypes.CDLL(str(library))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(handle, name):
+                getattr(handle, name)(1)
 
 
 class Model:
-    """Weights of the two directions stacked on the first axis; ``x`` holds what each character adds to the gates."""
+    """Weights of both directions. A step of the recurrence takes two characters, embedded apart, and gives the emissions of both:
+    half the steps of one character each. ``gates`` maps state, embeddings and 1 to the gates; the rows of the three sigmoid gates
+    are stored halved, as sigmoid(2z) = (1 + tanh(z)) / 2, and the state is kept doubled, which ``gates`` and ``out`` undo."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
-        self.x, self.u, self.out, self.bias, self.trans = (np.ascontiguousarray(arrays[k], np.float32) for k in ("x", "u", "out", "bias", "trans"))
+        p = {k: np.asarray(v, np.float32) for k, v in arrays.items()}
+        self.h = p["u"].shape[1]
+        self.gates = [np.ascontiguousarray(np.concatenate([p["u"][d] / 2, *p["wx"][d], p["base"][d][None]]).T) for d in (0, 1)]
+        self.table = np.ascontiguousarray(p["emb"].T)
+        self.out, self.bias, self.trans = np.ascontiguousarray(p["out"].transpose(0, 2, 1)) / 2, p["bias"], p["trans"]
+        _one_thread()
 
     def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """``[windows, length, tags]`` for padded character numbers."""
-        b, t = ids.shape
-        h = self.u.shape[1]
-        both = np.empty((t, b, 2 * h), np.float32)
-        # The backward direction reads each window from its own end.
-        back = lengths[:, None] - 1 - np.arange(t)[None, :]
-        rows = np.arange(b)[:, None]
-        reversed_ids = np.where(back >= 0, ids[rows, np.maximum(back, 0)], 0)
-        state, cell = np.zeros((2, b, h), np.float32), np.zeros((2, b, h), np.float32)
-        gates = np.empty((2, b, 4 * h), np.float32)
-        reverse = np.empty((t, b, h), np.float32)
+        """``[length, tags, windows]`` for character numbers ``[length, windows]``, 0 beyond each window's length."""
+        if len(ids) % 2:
+            ids = np.concatenate([ids, np.zeros((1, ids.shape[1]), ids.dtype)])
+        t, b = len(ids) // 2, ids.shape[1]
+        h, d2 = self.h, len(self.table)
+        both = np.empty((t, 2 * h, b), np.float32)
+        z, kept = np.empty((4 * h, b), np.float32), np.empty((h, b), np.float32)
+        i, f, o, g, sigmoid = z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :], z[: 3 * h]
+        ends = (lengths[None, :] + 1) // 2 <= np.arange(t)[:, None]
+        ragged = ends.any(1)
         half = np.float32(0.5)
-        for step in range(t):
-            np.matmul(state, self.u, out=gates)
-            gates[0] += self.x[0][ids[:, step]]
-            gates[1] += self.x[1][reversed_ids[:, step]]
-            # The rows of the three sigmoid gates are stored halved: sigmoid(2z) = (1 + tanh(z)) / 2.
-            np.tanh(gates, out=gates)
-            i, f, o, g = gates[..., :h], gates[..., h : 2 * h], gates[..., 2 * h : 3 * h], gates[..., 3 * h :]
-            cell = half * ((1 + f) * cell + (1 + i) * g)
-            state = half * (1 + o) * np.tanh(cell)
-            both[step, :, :h] = state[0]
-            reverse[step] = state[1]
-        at = np.where(back >= 0, back, 0).T
-        both[:, :, h:] = reverse[at, np.arange(b)[None, :]]
-        return (both.reshape(t * b, 2 * h) @ self.out + self.bias).reshape(t, b, TAGS).transpose(1, 0, 2)
-
-    def viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tags of each sequence; sequences are decoded together, longest first."""
-        order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
-        found: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
-        k = 0
-        while k < len(order):
-            t = len(scores[order[k]])
-            part = order[k : k + max(1, min(512, CELLS // max(1, t)))]
-            k += len(part)
-            e = np.zeros((t, len(part), TAGS), np.float32)
-            lengths = np.array([len(scores[p]) for p in part])
-            for j, p in enumerate(part):
-                e[: lengths[j], j] = scores[p]
-            best = np.empty((t, len(part), TAGS), np.int8)
-            v = e[0] + self.trans[TAGS][None]
-            last = v.copy()
-            for step in range(1, t):
-                live = int((lengths > step).sum())
-                a = v[:live, :, None] + self.trans[None, :TAGS, :]
-                best[step, :live] = a.argmax(1)
-                v = a.max(1) + e[step, :live]
-                last[:live] = v
-            tags = last.argmax(1)
-            path = np.zeros((t, len(part)), np.int8)
-            for step in range(t - 1, -1, -1):
-                live = lengths > step
-                path[step, live] = tags[live]
-                if step:
-                    tags = np.where(live, best[step, np.arange(len(part)), tags], tags)
-            for j, p in enumerate(part):
-                found[p] = path[: lengths[j], j]
-        return found
+        for d in (0, 1):
+            x = np.ones((h + 2 * d2 + 1, b), np.float32)
+            x[:h] = 0
+            state, cell = x[:h], np.zeros((h, b), np.float32)
+            for k in range(t) if d == 0 else range(t - 1, -1, -1):
+                np.take(self.table, ids[2 * k], axis=1, out=x[h : h + d2], mode="clip")
+                np.take(self.table, ids[2 * k + 1], axis=1, out=x[h + d2 : -1], mode="clip")
+                np.matmul(self.gates[d], x, out=z)
+                np.tanh(z, out=z)
+                sigmoid += 1
+                np.multiply(i, g, out=kept)
+                cell *= f
+                cell += kept
+                cell *= half
+                np.tanh(cell, out=kept)
+                np.multiply(o, kept, out=state)
+                if d and ragged[k]:
+                    # The backward direction starts at each window's own end.
+                    state[:, ends[k]] = 0
+                    cell[:, ends[k]] = 0
+                both[k, d * h : (d + 1) * h] = state
+        e = np.matmul(self.out[None], both[:, None])
+        e += self.bias[:, None]
+        return e.reshape(2 * t, TAGS, b)
+
+    def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences whose best path has an item, and the tags ``[length, those]``, of emissions ``[length, tags, sequences]``.
+
+        The inside of an item follows its own begin or inside only. The path without items is scored by the same sums, so
+        that it is known exactly where it wins; only the other sequences are traced back.
+        """
+        trans, first = self.trans[:TAGS], self.trans[TAGS]
+        free = np.ascontiguousarray(trans[:, [0, *range(1, TAGS, 2)]].T)[:, :, None]
+        kinds = np.arange(1, TAGS, 2)
+        from_begin, from_inside = trans[kinds, kinds + 1][:, None], trans[kinds + 1, kinds + 1][:, None]
+        v = np.empty_like(e)
+        np.add(e[0], first[:, None], out=v[0])
+        v[0, 2::2] = -1e9
+        none = v[0, 0].copy()
+        sums = np.empty((free.shape[0], TAGS, e.shape[2]), np.float32)
+        best, grown = np.empty((free.shape[0], e.shape[2]), np.float32), np.empty((2, len(TYPES), e.shape[2]), np.float32)
+        plain = np.zeros(len(lengths), bool)
+        stops = set((lengths - 1).tolist())
+        for k in range(len(e)):
+            if k:
+                p = v[k - 1]
+                np.add(p[None], free, out=sums)
+                np.max(sums, 1, out=best)
+                np.add(best[0], e[k, 0], out=v[k, 0])
+                np.add(best[1:], e[k, 1::2], out=v[k, 1::2])
+                np.add(p[1::2], from_begin, out=grown[0])
+                np.add(p[2::2], from_inside, out=grown[1])
+                np.maximum(grown[0], grown[1], out=grown[0])
+                np.add(grown[0], e[k, 2::2], out=v[k, 2::2])
+                none += trans[0, 0]
+                none += e[k, 0]
+            if k in stops:
+                last = lengths == k + 1
+                plain[last] = v[k][:, last].max(0) <= none[last]
+        other = np.flatnonzero((lengths > 0) & ~plain)
+        v, ends = np.ascontiguousarray(v[:, :, other]), lengths[other]
+        allowed = trans.copy()
+        allowed[:, 2::2] = -1e9
+        allowed[kinds, kinds + 1], allowed[kinds + 1, kinds + 1] = trans[kinds, kinds + 1], trans[kinds + 1, kinds + 1]
+        tags = np.zeros((len(e), len(other)), np.int8)
+        stops = set((ends - 1).tolist())
+        now = np.zeros(len(other), np.int64)
+        for k in range(int(ends.max(initial=0)) - 1, -1, -1):
+            before = (v[k] + allowed[:, now]).argmax(0)
+            if k in stops:
+                before = np.where(ends == k + 1, v[k].argmax(0), np.where(ends > k + 1, before, 0))
+            now = before
+            tags[k] = now
+        tags[np.arange(len(e))[:, None] >= ends[None, :]] = 0
+        return other, tags
 
 
 @lru_cache(maxsize=1)
@@ -140,48 +201,57 @@ def model() -> Model:
 
 
 def tag(pieces: list[str], net: Model | None = None) -> list[np.ndarray]:
-    """The tags of each segment."""
+    """The tags of each piece; an empty array where there is no item."""
     net = net or model()
-    distinct: dict[str, int] = {}
-    cuts: list[list[tuple[int, int]]] = []
-    for piece in pieces:
-        own, at = [], 0
-        while True:
-            part = piece[at : at + WINDOW]
-            own.append((at, distinct.setdefault(part, len(distinct))))
-            if at + WINDOW >= len(piece):
-                break
-            at += WINDOW - OVERLAP
-        cuts.append(own)
-    windows = list(distinct)
-    results: list[np.ndarray] = [np.zeros((0, TAGS), np.float32)] * len(windows)
-    order = sorted(range(len(windows)), key=lambda k: len(windows[k]))
-    for k in range(0, len(order), 512):
-        part = order[k : k + 512]
-        lengths = np.array([len(windows[p]) for p in part])
-        ids = np.zeros((len(part), int(lengths.max(initial=1))), np.int16)
-        for j, p in enumerate(part):
-            ids[j, : lengths[j]] = encode(windows[p])
-        e = net.emissions(ids, lengths)
-        for j, p in enumerate(part):
-            results[p] = e[j, : lengths[j]]
-    scores = []
-    for piece, own in zip(pieces, cuts):
-        if len(own) == 1:
-            scores.append(results[own[0][1]])
-            continue
-        total, seen = np.zeros((len(piece), TAGS), np.float32), np.zeros((len(piece), 1), np.float32)
-        for at, w in own:
-            total[at : at + len(results[w])] += results[w]
-            seen[at : at + len(results[w])] += 1
-        scores.append(total / seen)
-    filled = [k for k, s in enumerate(scores) if len(s)]
     tags = [np.zeros(0, np.int8)] * len(pieces)
-    for k, t in zip(filled, net.viterbi([scores[k] for k in filled])):
-        tags[k] = t
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    codes = encode("".join(pieces))
+    base = np.cumsum(lengths) - lengths
+    # Every window: its piece, where it begins there, and its size.
+    many = np.maximum(1, -(-(lengths - OVERLAP) // (WINDOW - OVERLAP)))
+    owner = np.repeat(np.arange(len(pieces)), many)
+    at = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * (WINDOW - OVERLAP)
+    size = np.minimum(WINDOW, lengths[owner] - at)
+    whole = many[owner] == 1
+    total: dict[int, np.ndarray] = {}
+    seen: dict[int, np.ndarray] = {}
+
+    def decode(e: np.ndarray, own: np.ndarray, which: list[int]) -> None:
+        for j, path in zip(*(lambda hit, paths: (hit.tolist(), paths.T))(*net.viterbi(e, own))):
+            tags[which[j]] = path[: own[j]]
+
+    for group in (True, False):
+        order = np.flatnonzero((whole == group) & (size > 0))
+        order = order[np.argsort(size[order], kind="stable")]
+        for q in range(0, len(order), ROWS):
+            part = order[q : q + ROWS]
+            own = size[part]
+            e = net.emissions(_windows(codes, base[owner[part]] + at[part], own), own)
+            if group:
+                decode(e, own, owner[part].tolist())
+                continue
+            for j, (k, a, m) in enumerate(zip(owner[part].tolist(), at[part].tolist(), own.tolist())):
+                if k not in seen:
+                    total[k], seen[k] = np.zeros((lengths[k], TAGS), np.float32), np.zeros((lengths[k], 1), np.float32)
+                total[k][a : a + m] += e[:m, :, j]
+                seen[k][a : a + m] += 1
+    long = sorted(seen, key=lambda k: -lengths[k])
+    while long:
+        part = long[: max(1, min(ROWS, CELLS // int(lengths[long[0]])))]
+        long = long[len(part) :]
+        e = np.zeros((int(lengths[part[0]]), TAGS, len(part)), np.float32)
+        for j, k in enumerate(part):
+            e[: lengths[k], :, j] = total.pop(k) / seen.pop(k)
+        decode(e, lengths[part], part)
     return tags
 
 
+def _windows(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``[length, windows]`` of the codes from ``begin`` on, 0 beyond a window's size."""
+    place = np.arange(int(size.max(initial=1)))[:, None]
+    return np.where(place < size[None, :], codes[np.minimum(begin[None, :] + place, len(codes) - 1)], np.uint8(0))
+
+
 def tag_spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
     spans: list[tuple[int, int, str]] = []
     i, n = 0, len(tags)
@@ -202,7 +272,6 @@ def _overlapping(pattern: re.Pattern, text: str, a: int, b: int) -> tuple[int, i
     return None
 
 
-_NUMBERED = re.compile(r"\b(?:order|item|version|ref|bestellung|artikel|pedido|artículo|versión)\s#?$", re.I)
 _DATE = re.compile(r"\d{1,2}([./-])\d{1,2}\1\d{4}|\d{4}-\d\d-\d\d")
 _ADDRESS_FORM = re.compile(rf"(?:\d+[A-Za-z]?(?:-\d+)?|[{_CAP}][\w]+(?:{_S}\w+){{0,3}},?{_S}\d{{1,3}}[A-Za-z]?),?{_S}\S.*[{_CAP}\d].*", re.S)
 _POSTCODE_END = re.compile(r"\s\d[A-Z]{2}\b")
@@ -217,8 +286,6 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     """The bounds of the whole item around a predicted span, or None if it lacks the form of its type."""
     if kind == "email":
         return _overlapping(EMAIL, text, a, b)
-    if _NUMBERED.search(text[max(0, a - 24) : a]):
-        return None
     if kind == "phone":
         span = _overlapping(PHONE, text, a, b)
         if span and _DATE.fullmatch(text[slice(*span)]):
@@ -247,28 +314,30 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     return (a, b) if _NAME_FORM.fullmatch(text[a:b]) else None
 
 
-def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-    """``(start, end, type)`` of the items in each text, in order and apart from each other."""
-    cuts = [segments(text) if text else [] for text in texts]
-    pieces = list(dict.fromkeys(text[a:b] for text, own in zip(texts, cuts) for a, b in own))
-    marked: dict[str, list[tuple[int, int, str]]] = {}
-    at = 0
-    while at < len(pieces):
-        part, size = [], 0
-        while at < len(pieces) and (not part or size + len(pieces[at]) <= CELLS):
-            part.append(pieces[at])
-            size += len(pieces[at])
-            at += 1
-        for piece, tags in zip(part, tag(part)):
-            if spans := tag_spans(tags):
-                marked[piece] = spans
-    found: list[dict] = [{} for _ in texts]
-    for k, own in enumerate(cuts):
-        for a, b in own:
-            for i, j, kind in marked.get(texts[k][a:b], ()):
-                span = checked(texts[k], a + i, a + j, kind)
+def find_in(sentences: list[str]) -> list[list[tuple[int, int, str]]]:
+    """``(start, end, type)`` of the items in each sentence, in order and apart from each other."""
+    pieces, owners = [], []
+    for k, sentence in enumerate(sentences):
+        at = 0
+        while True:
+            pieces.append(sentence[at : at + LONG])
+            owners.append((k, at))
+            if at + LONG >= len(sentence):
+                break
+            at += LONG - SHARED
+    found: list[dict] = [{} for _ in sentences]
+    k = 0
+    while k < len(pieces):
+        stop, size = k, 0
+        while stop < len(pieces) and (stop == k or size + len(pieces[stop]) <= 8 * CELLS):
+            size += len(pieces[stop])
+            stop += 1
+        for (owner, at), tags in zip(owners[k:stop], tag(pieces[k:stop])):
+            for i, j, kind in tag_spans(tags):
+                span = checked(sentences[owner], at + i, at + j, kind)
                 if span:
-                    found[k].setdefault(span, kind)
+                    found[owner].setdefault(span, kind)
+        k = stop
     out = []
     for items in found:
         kept: list[tuple[int, int, str]] = []
@@ -279,25 +348,53 @@ def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     return out
 
 
-#: Rows of one call, so that a batch of long texts stays small in memory.
-GROUP = 512
+def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+    """The items of whole texts, which are cut into sentences as the queries do; equal sentences are read once."""
+    cuts = [_CUT.split(text or "") for text in texts]
+    distinct = [s for s in dict.fromkeys(s for own in cuts for s in own) if s]
+    found = dict(zip(distinct, find_in(distinct)))
+    out = []
+    for own in cuts:
+        items: list[tuple[int, int, str]] = []
+        at = 0
+        for sentence in own:
+            items += [(at + i, at + j, kind) for i, j, kind in found.get(sentence, ())]
+            at += len(sentence) + 1
+        out.append(items)
+    return out
 
 
-def personal_items(items: DataFrame) -> DataFrame:
-    """``item_kind, item_id, pii_type, pii_value`` for items ``item_kind, item_id, body``; an item's values once a row."""
-
-    def run(kinds: list, ids: list, bodies: list) -> dict[str, list]:
-        out: dict[str, list] = {"item_kind": [], "item_id": [], "pii_type": [], "pii_value": []}
-        for k in range(0, len(ids), GROUP):
-            part = bodies[k : k + GROUP]
-            for kind, item, body, found in zip(kinds[k : k + GROUP], ids[k : k + GROUP], part, find(part)):
-                for t, value in sorted({(t, body[a:b]) for a, b, t in found}):
-                    for name, x in zip(out, (kind, item, t, value)):
-                        out[name].append(x)
-        return out
+def _sentences(body: Column) -> Column:
+    return F.array_distinct(F.split(body, SPLIT, -1))
+
+
+def _key() -> tuple[Column, Column]:
+    """Two 64-bit hashes of a sentence, as one hash alone would meet its like in a collection of 10^10 sentences."""
+    return F.xxhash64("sentence").alias("h"), F.xxhash64("sentence", F.lit(1)).alias("h2")
+
 
-    source = items.select("item_kind", "item_id", "body").where("body is not null and body != ''")
-    return map_columns(source, run, "item_kind string, item_id bigint, pii_type string, pii_value string")
+def _marked(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``placed(item_kind, item_id, h, h2)``, the sentences of each item, and ``found(h, h2, sentence, items)`` of the distinct
+    sentences that hold something, with ``items(pii_type, pii_value, begin, end)``."""
+    sentences = items.where("body is not null and body != ''").select("item_kind", "item_id", F.explode(_sentences("body")).alias("sentence")).where("sentence != ''")
+    schema = "sentence string, items array<struct<pii_type: string, pii_value: string, begin: int, end: int>>"
+
+    def run(texts: list) -> dict[str, list]:
+        hits = [(t, own) for t, own in zip(texts, find_in(texts)) if own]
+        return {
+            "sentence": [t for t, _ in hits],
+            "items": [[{"pii_type": kind, "pii_value": t[a:b], "begin": a, "end": b} for a, b, kind in own] for t, own in hits],
+        }
+
+    found = map_columns(sentences.select("sentence").distinct(), run, schema)
+    return sentences.select("item_kind", "item_id", *_key()), found.select(*_key(), "sentence", "items")
+
+
+def personal_items(items: DataFrame) -> DataFrame:
+    """``item_kind, item_id, pii_type, pii_value`` for items ``item_kind, item_id, body``; an item's values once."""
+    placed, found = _marked(items)
+    values = found.select("h", "h2", F.transform("items", lambda x: F.struct(x.pii_type, x.pii_value)).alias("items"))
+    return placed.join(values, ["h", "h2"]).select("item_kind", "item_id", F.inline("items")).distinct()
 
 
 def masked(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -309,13 +406,29 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def masked_items(items: DataFrame) -> DataFrame:
-    """``item_kind, item_id, masked`` of every item."""
-
-    def run(kinds: list, ids: list, bodies: list) -> dict[str, list]:
+    """``item_kind, item_id, masked`` of every item; a text that stands twice under one id is one item's text twice.
+
+    The changed sentences of an item come to its rows as a map, no larger than its texts, and are put in their places there.
+    """
+    placed, found = _marked(items)
+    own = (
+        placed.join(found.select("h", "h2", "sentence", "items"), ["h", "h2"])
+        .groupBy("item_kind", "item_id")
+        .agg(F.collect_set(F.struct("sentence", "items")).alias("changes"))
+    )
+
+    def run(kinds: list, ids: list, bodies: list, changes: list) -> dict[str, list]:
         out = []
-        for k in range(0, len(ids), GROUP):
-            part = bodies[k : k + GROUP]
-            out += [body if body is None else masked(body, found) for body, found in zip(part, find(part))]
+        for body, own in zip(bodies, changes):
+            if own:
+                new = {c["sentence"]: masked(c["sentence"], [(x["begin"], x["end"], x["pii_type"]) for x in c["items"]]) for c in own}
+                cuts = [(0, 0), *(m.span() for m in _CUT.finditer(body)), (len(body), len(body))]
+                parts = []
+                for (_, a), (b, c) in zip(cuts, cuts[1:]):
+                    parts += [new.get(body[a:b], body[a:b]), body[b:c]]
+                body = "".join(parts)
+            out.append(body)
         return {"item_kind": kinds, "item_id": ids, "masked": out}
 
-    return map_columns(items.select("item_kind", "item_id", "body"), run, "item_kind string, item_id bigint, masked string")
+    joined = items.select("item_kind", "item_id", "body").join(own, ["item_kind", "item_id"], "left")
+    return map_columns(joined.select("item_kind", "item_id", "body", "changes"), run, "item_kind string, item_id bigint, masked string")
