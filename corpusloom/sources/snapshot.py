@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Bounds on what a crawl reads of sitemaps (fixed values).
 SITEMAP_LOCS, INDEX_CHILDREN, SITEMAP_CANDIDATES, SITEMAP_STOP, SITEMAP_FILE_STOP = 1200, 10, 6, 200, 500
 
 

@@ -14,12 +14,14 @@ priceCurrency price offers availability sku ratingValue reviewBody aggregateRati
 wordCount timeRequired inLanguage""".split()
 #: Fields whose lists of texts are taken, in order (fixed values).
 LISTS = """knowsAbout skills languages award sameAs offers benefits features tags keywords articleSection keywords reviews aggregateRating serviceType areaServed audience""".split()
+#: Parts of an address, fields that name organisations, and social links, in order (fixed values).
 ADDRESS = "streetAddress addressLocality addressRegion postalCode addressCountry".split()
 ORGANISATIONS = "alumniOf workLocation employer organization publisher".split()
 SOCIAL = "facebookUrl twitterUrl instagramUrl linkedinUrl youtubeUrl blogUrl".split()
 #: Keys of embedded data that hold no text (fixed values).
 SKIPPED = frozenset("href src icon logo image images thumbnail url urls path slug id".split())
 
+#: Bounds on embedded data (fixed values).
 MAX_RAW, MAX_DEPTH, MAX_VALUES, MIN_VALUE, VALUE_CHARS, KEY_CHARS = 3_000_000, 7, 240, 30, 600, 160
 
 
@@ -83,7 +85,10 @@ def _listed(label: str, parts: list[str], separator: str = ", ") -> str:
 
 
 def node_strings(node) -> list[str]:
-    """The texts of one linked-data node, in a fixed order of kinds; a graph's nodes one after another."""
+    """The texts of one linked-data node, in a fixed order of kinds; a graph's nodes one after another.
+
+    The labels below and the sentence on former organisations are fixed values.
+    """
     if not isinstance(node, dict):
         return []
     if isinstance(node.get("@graph"), list):

@@ -125,9 +125,6 @@ def stream(messages: DataFrame) -> DataFrame:
 
 # ---- frames: what goes over the wire
 
-FRAME = "type string, text string"
-
-
 def safe_json(raw: Column) -> Column:
     """The value a JSON text stands for, NULL for any other text."""
     return F.try_parse_json(raw)
@@ -175,7 +172,7 @@ def route(kind: str | None, text: str | None, valid: bool = True) -> str:
     """What a message is to a session: ``invalid``, ``reset``, ``text``, an outcome of its own work, or ``ignored``."""
     if not valid:
         return "invalid"
-    if kind in ("reset", "prepared", "failed", "answered", "provider_failed"):
+    if kind in ("reset", "prepared", "failed", "answered", "unanswered", "provider_failed"):
         return kind
     return "text" if kind == "user_message" and _BLANKS.sub("", text or "") else "ignored"
 
@@ -184,7 +181,8 @@ def chat_step(state: tuple, at: datetime, kind: str | None, text: str | None, na
     """``(state, messages)`` after one event; messages are ``(type, text, attempts)``.
 
     Events are messages of the user and outcomes of the work the session asked for: ``prepared`` and ``failed`` (text: the error)
-    of a site, ``answered`` and ``provider_failed`` (text: provider and message, apart by a colon) of an answer.
+    of a site, ``answered``, ``provider_failed`` (text: provider and message, apart by a colon) and ``unanswered`` (no provider
+    succeeded; text: the answer from the site's own sentences) of an answer.
     """
     stage, seed, answered, resting = state
     what = route(kind, text, valid)
@@ -209,6 +207,8 @@ def chat_step(state: tuple, at: datetime, kind: str | None, text: str | None, na
         return (AWAITING, None, 0, {}), say(("error", text), ("assistant_message", ASK_ADDRESS))
     if what == "answered" and stage == READY:
         return (stage, seed, answered + 1, resting), say(("assistant_message", text))
+    if what == "unanswered" and stage == READY:
+        return state, say(("status", UNAVAILABLE), ("assistant_message", text))
     if what == "provider_failed" and stage == READY:
         name, _, message = (text or "").partition(":")
         return (stage, seed, answered, {**resting, name: at + timedelta(seconds=providers.rest_of(status, message))}), []

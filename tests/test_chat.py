@@ -48,6 +48,11 @@ def test_failed_providers_rest():
     assert [providers.rest_of(None, m) for m in (None, "quota", "Too many requests")] == [120, 900, 600]
 
 
+def test_a_question_no_provider_answers():
+    state, said = run(("unanswered", "From the site."), state=("ready", "https://a.example", 3, {}))
+    assert state == ("ready", "https://a.example", 3, {}) and said == [[("status", sessions.UNAVAILABLE), ("assistant_message", "From the site.")]]
+
+
 def test_frames_read_and_written(spark):
     raw = ['{"type":"user_message","text":"a"}', '{"type":"reset"}', "{", "", None, "5", "null", '{"text":3,"type":null,"x":[1]}']
     got = sessions.parsed_frames(spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "id int, value string")).orderBy("id").collect()
