@@ -26,11 +26,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import residue
-from corpusloom.llm.common import map_columns
 from corpusloom.plans.lineage import cut
 
 MIN_PAGES = 5
@@ -184,43 +184,74 @@ def described(urls: list, titles: list, tokens: list[tuple[list, list]], links:
     return out
 
 
-def features(keys: np.ndarray, parts: np.ndarray, lines: np.ndarray, known: dict[int, tuple[float, float, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the lines that have anything but blanks, and their numbers. ``known`` gives of a part that recurs somewhere:
-    its share of the host's pages (at least ``MIN_SHARE`` where it recurs there), its evidence and its number of hosts."""
-    number = np.flatnonzero(lines["flags"] & _FULL)
-    n = len(number)
+#: What is known of a part that recurs somewhere, on a page's host: its share of the host's pages, its evidence, its number of
+#: hosts, and whether it recurs here.
+FACTS = ("share", "evidence", "hosts", "here")
+
+
+def features(keys: np.ndarray, parts: np.ndarray, lines: np.ndarray, known: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the lines of one page that have anything but blanks, and their numbers. ``known`` gives ``FACTS`` by key."""
+    facts = np.array([known[k] for k in known], np.float64).reshape(len(known), len(FACTS))
+    one = lambda x: np.array([len(x)])
+    x, number, _ = features_of_pages(keys, one(keys), parts, lines, one(lines), np.array(list(known), np.int64), one(facts), facts)
+    return x, number
+
+
+def features_of_pages(
+    keys: np.ndarray, n_parts: np.ndarray, parts: np.ndarray, lines: np.ndarray, n_lines: np.ndarray, known: np.ndarray, n_known: np.ndarray, facts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pages laid end to end: features of the lines that have anything but blanks, their numbers, and the page of each."""
+    c = {name: k for k, name in enumerate(FEATURES)}
+    first = np.cumsum(n_lines) - n_lines
+    page_of_line = np.repeat(np.arange(len(n_lines)), n_lines)
+    full = (lines["flags"] & _FULL) > 0
+    own, page = lines[full], page_of_line[full]
+    number = np.flatnonzero(full) - first[page]
+    n = len(own)
     x = np.zeros((n, len(FEATURES)), np.float32)
     if not n:
-        return x, number
-    c = {name: k for k, name in enumerate(FEATURES)}
-    own = lines[number]
+        return x, number, page
     x[:, c["words"]] = own["words"]
     for name, flag in (("ended", _ENDED), ("at_sign", _AT_SIGN), ("own_title", _OWN), ("linked", _LINKED)):
         x[:, c[name]] = (own["flags"] & flag) > 0
     x[:, c["capitals"]], x[:, c["digits"]], x[:, c["parts"]] = own["capitals"] / 255, own["digits"] / 255, own["parts"]
-    x[:, c["from_start"]], x[:, c["from_end"]] = np.arange(n), n - 1 - np.arange(n)
+    rows = np.arange(n)
+    begins = np.concatenate([[True], page[1:] != page[:-1]])
+    begin = np.flatnonzero(begins)
+    size = np.diff(np.concatenate([begin, [n]]))
+    x[:, c["from_start"]] = rows - np.repeat(begin, size)
+    x[:, c["from_end"]] = np.repeat(begin + size, size) - 1 - rows
     if len(known):
-        facts = np.array([known.get(k, (0.0, 0.0, 0, False)) for k in keys.tolist()], np.float64).reshape(len(keys), 4)
+        # A part is looked up with its page: key and page mixed into one number.
+        mixed = lambda key, of: residue._mix(key.view(np.uint64) ^ residue._mix(of.astype(np.uint64) * _STEP + np.uint64(1)))
+        page_of_part = np.repeat(np.arange(len(n_parts)), n_parts)
+        table = mixed(known, np.repeat(np.arange(len(n_known)), n_known))
+        order = np.argsort(table)
+        asked = mixed(np.ascontiguousarray(keys), page_of_part)
+        at = np.minimum(np.searchsorted(table[order], asked), len(table) - 1)
+        found = table[order][at] == asked
+        hit = np.where(found[:, None], facts[order[at]], 0.0)
+        row_of_line = np.cumsum(full) - 1
+        place = row_of_line[first[page_of_part] + parts["line"]]
         weight = parts["words"].astype(np.float64)
-        place = np.searchsorted(number, parts["line"])
         total = np.maximum(np.bincount(place, weight, n), 1)
-        anchor = (facts[:, 3] > 0) | (facts[:, 1] >= 0.5)
-        for name, values in (("density", anchor), ("share", facts[:, 0]), ("evidence", facts[:, 1]), ("hosts", np.minimum(facts[:, 2], 20))):
+        anchor = (hit[:, 3] > 0) | (hit[:, 1] >= 0.5)
+        for name, values in (("density", anchor), ("share", hit[:, 0]), ("evidence", hit[:, 1]), ("hosts", np.minimum(hit[:, 2], 20))):
             x[:, c[name]] = np.bincount(place, weight * values, n) / total
-    since, of = 20, 0.0
-    words, dense, ended = x[:, c["words"]].tolist(), (x[:, c["density"]] >= 0.5).tolist(), x[:, c["ended"]].tolist()
-    for k in range(n):
-        x[k, c["since_dense"]], x[k, c["words_of_dense"]] = since, of
-        if dense[k]:
-            since, of = 0, words[k]
-        elif ended[k]:
-            since = 20
-        else:
-            since = min(20, since + 1)
+    dense, ended = x[:, c["density"]] >= 0.5, x[:, c["ended"]] > 0
+    # The last dense line, and the last line that ends a run, of the page before each line.
+    before = lambda flags: np.concatenate([[-1], np.maximum.accumulate(np.where(flags, rows, -1))[:-1]])
+    start = np.repeat(begin, size)
+    last_dense, last_end = before(dense), before(ended & ~dense)
+    known_dense = last_dense >= start
+    runs = known_dense & (last_end < last_dense)
+    x[:, c["since_dense"]] = np.where(runs, np.minimum(20, rows - last_dense - 1), 20)
+    x[:, c["words_of_dense"]] = np.where(known_dense, x[np.maximum(last_dense, 0), c["words"]], 0)
+    inner, outer = ~begins[1:], slice(1, None)
     for name in ("words", "density", "ended", "share"):
-        x[1:, c[f"{name}_before"]] = x[:-1, c[name]]
-        x[:-1, c[f"{name}_after"]] = x[1:, c[name]]
-    return x, number
+        x[outer, c[f"{name}_before"]] = np.where(inner, x[:-1, c[name]], 0)
+        x[:-1, c[f"{name}_after"]] = np.where(inner, x[outer, c[name]], 0)
+    return x, number, page
 
 
 class Tree:
@@ -340,26 +371,33 @@ def with_evidence(rows: DataFrame) -> DataFrame:
 
 
 def page_features(rows: DataFrame, finish, schema: str) -> DataFrame:
-    """``finish(page_ids, [(features, line numbers)])`` over the pages of ``with_evidence``; it returns columns by name."""
+    """``finish(page ids, features, line numbers, page of each line)`` over batches of ``with_evidence``; it returns columns by name."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(ids: list, keys: list, parts: list, lines: list, known: list) -> dict[str, list]:
-        found = []
-        for own, p, x, facts in zip(keys, parts, lines, known):
-            table = {f["key"]: (f["share"], f["evidence"], f["hosts"], f["here"]) for f in facts or ()}
-            found.append(features(np.array(own, np.int64), np.frombuffer(p, PART_TYPE), np.frombuffer(x, LINE_TYPE), table))
-        return finish(ids, found)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, parts, lines, known = batch.columns
+            lengths = lambda column: np.array(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+            packed = lambda column, kind: (np.frombuffer(b"".join(column.to_pylist()), kind), np.array(pc.binary_length(column), np.int64) // kind.itemsize)
+            facts = known.flatten()
+            table = np.stack([facts.field(name).to_numpy(zero_copy_only=False).astype(np.float64) for name in FACTS], 1) if len(facts) else np.zeros((0, len(FACTS)))
+            (own_parts, n_parts), (own_lines, n_lines) = packed(parts, PART_TYPE), packed(lines, LINE_TYPE)
+            own_keys = keys.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            own_known = facts.field("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            x, number, page = features_of_pages(own_keys, n_parts, own_parts, own_lines, n_lines, own_known, lengths(known), table)
+            out = finish(ids.to_numpy(zero_copy_only=False), x, number, page)
+            yield pa.RecordBatch.from_arrays([pa.array(out[n]) for n in names], names=names)
 
-    return map_columns(rows.select("page_id", "keys", "parts", "lines", "known"), run, schema)
+    return rows.select("page_id", "keys", "parts", "lines", "known").mapInArrow(run, schema)
 
 
 def frame_lines(pages: DataFrame, skip=None) -> DataFrame:
     """``page_id, line_no`` of the frame lines of pages with ``page_id, url, title, text, links``; see ``blocks`` for ``skip``."""
     shared = pages.sparkSession.sparkContext.broadcast(trained_tree())
 
-    def finish(ids: list, found: list) -> dict[str, list]:
-        x = np.concatenate([x for x, _ in found])
+    def finish(ids: np.ndarray, x: np.ndarray, number: np.ndarray, page: np.ndarray) -> dict[str, np.ndarray]:
         hit = shared.value.predict(x) > 0.5
-        return {"page_id": np.repeat(np.array(ids, np.int64), [len(n) for _, n in found])[hit], "line_no": np.concatenate([n for _, n in found]).astype(np.int32)[hit]}
+        return {"page_id": ids[page[hit]].astype(np.int64), "line_no": number[hit].astype(np.int32)}
 
     return page_features(with_evidence(cut(blocks(pages, skip))), finish, "page_id bigint, line_no int")
 
