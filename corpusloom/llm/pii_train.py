@@ -214,8 +214,11 @@ def background(path: str) -> list[str]:
     return lines[:BACKGROUND]
 
 
-def window(w: Writer, calm: list[str]) -> tuple[str, np.ndarray]:
-    """A text of up to ``LENGTH`` characters and its tags: one sentence as the splitter gives them, or a cut of running text."""
+def window(w: Writer, calm: list[str], whole: bool = False) -> tuple[str, np.ndarray]:
+    """A text of up to ``LENGTH`` characters and its tags: one sentence as the splitter gives them, or a cut of running text.
+
+    With ``whole`` no cut falls inside an item, where none could say what the rest of it is.
+    """
     text, marks = "", []
     r = w.r.random()
     single = w.r.random() < 0.5
@@ -231,18 +234,22 @@ def window(w: Writer, calm: list[str]) -> tuple[str, np.ndarray]:
         text += w.r.choice([" ", " ", " ", "  ", " | ", ", "])
     begin = 0 if single and w.r.random() < 0.9 else w.r.randint(0, min(40, len(text) - 1))
     n = LENGTH if single else w.r.randint(LENGTH // 2, LENGTH)
+    end = min(len(text), begin + n)
+    if whole:
+        begin = min([a for a, b, _ in marks if a < begin < b], default=begin)
+        end = min([a for a, b, _ in marks if a < min(end, begin + LENGTH) < b], default=min(end, begin + LENGTH))
     y = np.zeros(len(text), np.int64)
     for a, b, t in marks:
         y[a:b] = 2 + 2 * t
         y[a] = 1 + 2 * t
-    return text[begin : begin + n], y[begin : begin + n]
+    return text[begin:end], y[begin:end]
 
 
-def batch(w: Writer, calm: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def batch(w: Writer, calm: list[str], whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Character numbers, tags and lengths of ``BATCH`` windows."""
     ids, tags, lengths = np.zeros((BATCH, LENGTH), np.uint8), np.zeros((BATCH, LENGTH), np.int64), np.zeros(BATCH, np.int64)
     for k in range(BATCH):
-        text, y = window(w, calm)
+        text, y = window(w, calm, whole)
         n = lengths[k] = len(text)
         ids[k, :n], tags[k, :n] = pii.encode(text), y
     return ids, tags, lengths
@@ -380,11 +387,11 @@ def train(pages: str, steps: int = 12_000, rate: float = 6e-3, report: int = 100
 
 
 def held_out(p: dict[str, np.ndarray], calm: list[str], batches: int = 10, seed: int = 99) -> dict[str, float]:
-    """Span precision and recall on composed windows of another seed."""
+    """Span precision and recall on composed windows of another seed, whose edges cut no item."""
     net, w = pii.Model(p), Writer(seed)
     hit = said = true = 0
     for _ in range(batches):
-        ids, tags, lengths = batch(w, calm)
+        ids, tags, lengths = batch(w, calm, whole=True)
         other, paths = net.viterbi(net.emissions(np.ascontiguousarray(ids.T), lengths), lengths)
         got = dict(zip(other.tolist(), paths.T))
         for k in range(BATCH):
