@@ -1,6 +1,6 @@
 """Fitting of the classifier of problem 2: ``python -m corpusloom.llm.residue_train PAGES.parquet [SNAPSHOT.parquet]``.
 
-Weak labels come from response statuses (the bodies that failed requests of the site snapshot brought, and statuses in the
+Weak labels come from response statuses (the short bodies that failed requests of the site snapshot brought, and statuses in the
 pages' own wording) and from phrases. So that the classifier does not merely repeat them, notices of common servers that no label
 knows are added, and calm sentences are varied with the words that labels hang on (status numbers, "error", "JavaScript" and
 the like). Fitting reads at most ``2 * TRAIN_PAGES`` pages, drawn by a hash of the id; the held-out share of hosts
@@ -27,6 +27,7 @@ ROUNDS = 120
 BOOSTS = 6
 HELD_OUT = 0.2
 VARIED = 6000
+STATUS_WORDS = 40
 
 #: Weak labels (fixed values): spots that hold one of these are taken for residue unless ``_ABOUT`` matches too.
 _MARK = (
@@ -262,10 +263,13 @@ def sample_rows(pages: DataFrame, held_out: bool | None, expected: int = TRAIN_P
     return [(r[0], r[1]) for r in part.select("page_id", "title", "text").orderBy("page_id").select("title", "text").limit(2 * expected).collect()]
 
 
-def status_rows(snapshot: DataFrame, most: int = TRAIN_PAGES) -> list[tuple]:
-    """``(title, text)`` of the bodies that failed requests brought: one spot each, labelled by the status alone."""
+def status_rows(snapshot: DataFrame, most: int = TRAIN_PAGES) -> list[str]:
+    """The texts of the bodies that failed requests brought, labelled by the status alone.
+
+    Bodies of more than ``STATUS_WORDS`` words are left out: those are whole pages that came with a wrong status.
+    """
     text = F.trim(F.regexp_replace(F.regexp_replace("body", r"<[^>]*>", " "), r"\s+", " "))
-    rows = snapshot.where("status >= 400 and body is not null").select(text.alias("t")).where("t != ''").orderBy("t").limit(most).collect()
+    rows = snapshot.where("status >= 400 and body is not null").select(text.alias("t")).where("t != ''").where(F.size(F.split("t", " ")) <= STATUS_WORDS).orderBy("t").limit(most).collect()
     return [r[0] for r in rows]
 
 

@@ -269,6 +269,11 @@ def test_residue_pages_and_unseen_hosts(spark):
     assert residue.residue_pages(df.limit(0)).count() == 0
 
 
+def test_short_bodies_of_failed_requests_are_labels(spark):
+    rows = [(404, "<html><title>Gone</title><p>No such page here</p></html>"), (503, None), (200, "<p>fine</p>"), (404, "<p>" + "word " * 50 + "</p>"), (500, "")]
+    assert residue_train.status_rows(spark.createDataFrame(rows, "status int, body string")) == ["Gone No such page here"]
+
+
 # ---- frame lines
 
 
