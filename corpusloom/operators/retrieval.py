@@ -23,6 +23,9 @@ DOC_BLOCK = 128
 
 SCORED, USED, FALLBACK = 10, 8, 5
 
+_WORD = re.compile("[a-z0-9]{2,}")
+_STOPPED = frozenset(STOPWORDS)
+
 
 def question_terms(questions: DataFrame) -> DataFrame:
     """``qid, term``: each question's distinct terms."""
@@ -73,7 +76,7 @@ def scan(docs: DataFrame, question: str, text_col: str = "text", id_col: str = "
 
 def plain_tokens(text: str) -> list[str]:
     """``tokens`` of a text at hand."""
-    return [w for w in re.split("[^a-z0-9]+", text.lower()) if len(w) >= 2 and w not in STOPWORDS]
+    return [w for w in _WORD.findall(text.lower()) if w not in _STOPPED]
 
 
 def best(scores: DataFrame, k: int = USED) -> DataFrame:
@@ -89,9 +92,14 @@ def best_of_one(scores: DataFrame, k: int = USED) -> DataFrame:
 
 def _blocks(terms: DataFrame) -> Iterator[list[tuple]]:
     """The asked pairs ``(qid, term)`` in blocks of bounded size, each with all terms of its questions."""
+    first = terms.select("qid", "term").limit(ASKED_PAIRS + 1).collect()
+    if len(first) <= ASKED_PAIRS:
+        if first:
+            yield [(r[0], r[1]) for r in first]
+        return
     n = -(-terms.count() // ASKED_PAIRS)
     for i in range(n):
-        part = terms if n == 1 else terms.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)
+        part = terms.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)
         yield [(r[0], r[1]) for r in part.select("qid", "term").collect()]
 
 
